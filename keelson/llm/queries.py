@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe
+from keelson.llm import bpe, tiff
 from keelson.llm.common import read
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -18,8 +18,14 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op2_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store every document's bytes as TIFF pages, read the pages back, digest both."""
+    return tiff.stored_digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_tiff_media": op2_tiff_media,
 }
 
 #: None of the ten is expressible in SQL as a whole; tests hold them against brute force.

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, tiff
+from keelson.llm import bpe, secrets, tiff
 from keelson.llm.common import read
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -23,9 +23,15 @@ def op2_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.stored_digests(read(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document and in what is encoded inside it."""
+    return secrets.scan_report(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_tiff_media": op2_tiff_media,
+    "op7_secret_scan": op7_secret_scan,
 }
 
 #: None of the ten is expressible in SQL as a whole; tests hold them against brute force.

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, secrets, tiff
+from keelson.llm import bpe, secrets, simhash, tiff
 from keelson.llm.common import read
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -23,6 +23,11 @@ def op2_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.stored_digests(read(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes by 3-word SimHash at two or fewer differing bits."""
+    return simhash.near_components(read(spark, sf_dir, "documents"), radius=2, size=3)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document and in what is encoded inside it."""
     return secrets.scan_report(read(spark, sf_dir, "documents"))
@@ -31,6 +36,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_tiff_media": op2_tiff_media,
+    "op5_simhash": op5_simhash,
     "op7_secret_scan": op7_secret_scan,
 }
 

@@ -35,7 +35,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo: the split that held-out contracts use."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % modulus
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
 def text_of(column: str = "text") -> Column:

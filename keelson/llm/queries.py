@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, secrets, simhash, tiff
-from keelson.llm.common import read
+from keelson.llm import bpe, quality, secrets, simhash, tiff
+from keelson.llm.common import crc_mod, read
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -33,11 +33,19 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_report(read(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; one third of the ids is held out of the training."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    scored = quality.score_documents(docs, labels, crc_mod(F.col("doc_id"), 3) == 1)
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_tiff_media": op2_tiff_media,
     "op5_simhash": op5_simhash,
     "op7_secret_scan": op7_secret_scan,
+    "op9_quality": op9_quality,
 }
 
 #: None of the ten is expressible in SQL as a whole; tests hold them against brute force.

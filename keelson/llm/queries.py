@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, quality, secrets, simhash, tiff
+from keelson.llm import bpe, mixing, quality, secrets, simhash, tiff
 from keelson.llm.common import crc_mod, read
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -40,12 +40,18 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix of all sources by weights 1, 2, 3 takes."""
+    return mixing.mix_report(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_tiff_media": op2_tiff_media,
     "op5_simhash": op5_simhash,
     "op7_secret_scan": op7_secret_scan,
     "op9_quality": op9_quality,
+    "op10_source_mix": op10_source_mix,
 }
 
 #: None of the ten is expressible in SQL as a whole; tests hold them against brute force.

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, mixing, quality, secrets, simhash, tiff
+from keelson.llm import bpe, mixing, quality, secrets, simhash, sketch, tiff
 from keelson.llm.common import crc_mod, read
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -23,6 +23,11 @@ def op2_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.stored_digests(read(spark, sf_dir, "documents"))
 
 
+def op3_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threshold-scaled sketches of every document and of its edited text, compared."""
+    return sketch.edited_pairs(read(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes by 3-word SimHash at two or fewer differing bits."""
     return simhash.near_components(read(spark, sf_dir, "documents"), radius=2, size=3)
@@ -48,6 +53,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_tiff_media": op2_tiff_media,
+    "op3_sketch": op3_sketch,
     "op5_simhash": op5_simhash,
     "op7_secret_scan": op7_secret_scan,
     "op9_quality": op9_quality,

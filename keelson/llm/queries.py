@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, mixing, quality, secrets, simhash, sketch, tiff
+from keelson.llm import bpe, langid, mixing, quality, secrets, simhash, sketch, tiff
 from keelson.llm.common import crc_mod, read
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -28,6 +28,14 @@ def op3_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_pairs(read(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; one third of the ids is held out of the training."""
+    docs = read(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    models = langid.train_models(docs, ~held_out)
+    return langid.predict_languages(docs, models, keep=(held_out.alias("held_out"),))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes by 3-word SimHash at two or fewer differing bits."""
     return simhash.near_components(read(spark, sf_dir, "documents"), radius=2, size=3)
@@ -54,6 +62,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_tiff_media": op2_tiff_media,
     "op3_sketch": op3_sketch,
+    "op4_language": op4_language,
     "op5_simhash": op5_simhash,
     "op7_secret_scan": op7_secret_scan,
     "op9_quality": op9_quality,

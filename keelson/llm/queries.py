@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, langid, mixing, quality, secrets, simhash, sketch, tiff
+from keelson.llm import bpe, langid, lblm, mixing, quality, secrets, simhash, sketch, tiff
 from keelson.llm.common import crc_mod, read
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -41,6 +41,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(read(spark, sf_dir, "documents"), radius=2, size=3)
 
 
+def op6_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document; one seventh of the ids is held out of the training."""
+    docs = read(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 7) == 2
+    model, counts = lblm.train_model(docs, ~held_out)
+    return lblm.score_documents(docs, model, counts, keep=(held_out.alias("held_out"),))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document and in what is encoded inside it."""
     return secrets.scan_report(read(spark, sf_dir, "documents"))
@@ -64,6 +72,7 @@ QUERIES = {
     "op3_sketch": op3_sketch,
     "op4_language": op4_language,
     "op5_simhash": op5_simhash,
+    "op6_log_bilinear": op6_log_bilinear,
     "op7_secret_scan": op7_secret_scan,
     "op9_quality": op9_quality,
     "op10_source_mix": op10_source_mix,

@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, langid, lblm, mixing, quality, secrets, simhash, sketch, tiff
+from keelson.llm import bpe, langid, lblm, mixing, pii, quality, secrets, simhash, sketch, tiff
 from keelson.llm.common import crc_mod, read
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: For these synthetic tables only.
+SURROGATE_KEY = "synthetic-tables"
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +56,14 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_report(read(spark, sf_dir, "documents"))
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by consistent surrogates.
+
+    A deployment passes a key of its own from its secret store.
+    """
+    return pii.replace_private(read(spark, sf_dir, "documents"), key=SURROGATE_KEY)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; one third of the ids is held out of the training."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
@@ -74,6 +84,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_log_bilinear": op6_log_bilinear,
     "op7_secret_scan": op7_secret_scan,
+    "op8_pii_surrogates": op8_pii_surrogates,
     "op9_quality": op9_quality,
     "op10_source_mix": op10_source_mix,
 }

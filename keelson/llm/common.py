@@ -19,17 +19,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise df in the checkpoint folder that driver and executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``; only where the session has none
-    (single-machine tests) a temporary one is set. Recomputing after a lost executor
-    then starts from these files, and a costly column is computed once for all readers.
+    Only where the session has none (single-machine tests) a temporary one is set.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared checkpoint folder.
+
+    Recomputing after a lost executor then starts from these files, and a costly column is
+    computed once for all readers.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

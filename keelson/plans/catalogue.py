@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from keelson.plans import objects, relations
+
+_PARTS = (relations, objects)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _part in _PARTS:
+    QUERIES |= _part.CATALOGUE.queries
+    ORACLE_SQL |= _part.CATALOGUE.sql

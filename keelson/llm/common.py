@@ -55,6 +55,18 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def slices(texts: pa.Array, most: int = 6 << 20):
+    """(start, part) for consecutive parts of a batch with about ``most`` bytes of text or
+    one text, so that what a task holds for a batch has a bound."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
+        yield start, texts.slice(start, stop - start)
+        start = stop
+
+
 class WordBatch:
     """The words of a batch of texts, each distinct word held once.
 

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import cut_lineage
+from keelson.llm.common import cut_lineage, slices
 
 ORDER, DISCOUNT = 5, 0.75
 SAMPLE, CALIBRATION = 800, 0.25
@@ -92,32 +92,37 @@ def _count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """lang, n, gram, tail, context, count: n-grams of a batch, each with its last n - 1
     characters (tail) and its first n - 1 (context), as hashes."""
     for batch in batches:
-        langs = batch.column(0).dictionary_encode()
-        words = letters(batch.column(1))
-        code = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[words.owner]
-        pair, weight = np.unique(code * max(len(words.starts), 1) + words.code, return_counts=True)
-        lang, word = np.divmod(pair, max(len(words.starts), 1))
-        hashes = ngram_hashes(words)
-        size = words.starts[word + 1] - words.starts[word]
-        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        place = np.repeat(words.starts[word], size) + step + 1
-        lang, weight = np.repeat(lang, size), np.repeat(weight, size)
-        for n in range(1, ORDER + 1):
-            gram = hashes[n - 1][place]
-            tail = hashes[n - 2][place] if n > 1 else np.zeros_like(gram)
-            context = hashes[n - 2][place - 1] if n > 1 else np.zeros_like(gram)
-            if n == 2:  # the opening mark alone is a context too
-                context = np.where(step == 0, np.uint64(1), context)
-            have = gram != 0
-            order = np.lexsort((gram[have], lang[have]))
-            g, ln = gram[have][order], lang[have][order]
-            new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (ln[1:] != ln[:-1])])) if len(g) else np.zeros(0, np.int64)
-            total = np.add.reduceat(weight[have][order], new) if len(new) else np.zeros(0, np.int64)
-            signed = lambda x: pa.array(x[have][order][new].view(np.int64))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays(
-                [langs.dictionary.cast(pa.string()).take(pa.array(ln[new])), pa.array([n] * len(new), pa.int32()), signed(gram), signed(tail), signed(context), pa.array(total, pa.int64())],
-                ["lang", "n", "gram", "tail", "context", "count"],
-            )
+        for at, texts in slices(batch.column(1)):
+            yield from _count_part(batch.column(0).slice(at, len(texts)), texts)
+
+
+def _count_part(names: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    langs = names.dictionary_encode()
+    words = letters(texts)
+    code = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[words.owner]
+    pair, weight = np.unique(code * max(len(words.starts), 1) + words.code, return_counts=True)
+    lang, word = np.divmod(pair, max(len(words.starts), 1))
+    hashes = ngram_hashes(words)
+    size = words.starts[word + 1] - words.starts[word]
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    place = np.repeat(words.starts[word], size) + step + 1
+    lang, weight = np.repeat(lang, size), np.repeat(weight, size)
+    for n in range(1, ORDER + 1):
+        gram = hashes[n - 1][place]
+        tail = hashes[n - 2][place] if n > 1 else np.zeros_like(gram)
+        context = hashes[n - 2][place - 1] if n > 1 else np.zeros_like(gram)
+        if n == 2:  # the opening mark alone is a context too
+            context = np.where(step == 0, np.uint64(1), context)
+        have = gram != 0
+        order = np.lexsort((gram[have], lang[have]))
+        g, ln = gram[have][order], lang[have][order]
+        new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (ln[1:] != ln[:-1])])) if len(g) else np.zeros(0, np.int64)
+        total = np.add.reduceat(weight[have][order], new) if len(new) else np.zeros(0, np.int64)
+        signed = lambda x: pa.array(x[have][order][new].view(np.int64))  # noqa: B023, E731
+        yield pa.RecordBatch.from_arrays(
+            [langs.dictionary.cast(pa.string()).take(pa.array(ln[new])), pa.array([n] * len(new), pa.int32()), signed(gram), signed(tail), signed(context), pa.array(total, pa.int64())],
+            ["lang", "n", "gram", "tail", "context", "count"],
+        )
 
 
 class LanguageModels:
@@ -212,7 +217,8 @@ class LanguageModels:
 
     def predict(self, texts: pa.Array):
         """Language (None: no letters), score, lowest cross-entropy, whether rejected."""
-        entropy, length = self.cross_entropies(texts)
+        parts = [self.cross_entropies(part) for _, part in slices(texts)] or [self.cross_entropies(texts)]
+        entropy, length = (np.concatenate(x) for x in zip(*parts))
         if not self.languages:
             n = len(texts)
             return [None] * n, np.zeros(n), np.full(n, np.nan), np.zeros(n, bool)
@@ -249,7 +255,8 @@ def train_models(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: s
     @F.arrow_udf("double")
     def entropy(langs: pa.Array, texts: pa.Array) -> pa.Array:
         model = shared.value
-        values, length = model.cross_entropies(texts)
+        parts = [model.cross_entropies(part) for _, part in slices(texts)] or [model.cross_entropies(texts)]
+        values, length = (np.concatenate(x) for x in zip(*parts))
         column = [model.languages.index(x) if x in model.languages else None for x in langs.to_pylist()]
         return pa.array([None if c is None or not n else float(v[c]) for c, v, n in zip(column, values, length)], pa.float64())
 

@@ -85,9 +85,11 @@ def lifetime_bucket(pages: DataFrame, edt: str, groups: int, name: str = "bucket
         step = F.greatest(F.floor(F.lit(i + 1) * F.col("width") / weight).cast("long"), F.lit(1))
         assigned = assigned + step
         limits.append(F.least(F.col("lo") + assigned, F.col("hi")).alias(f"t{i}"))
-    bounds = span.select(F.array(*limits) if limits else F.array().cast("array<long>")).scalar()
-    passed = F.size(F.filter(bounds, lambda t: t <= F.col(edt)))
-    return pages.withColumn(name, F.least(passed, F.lit(groups - 1)))
+    bounds = span.select(*limits)
+    passed = F.lit(0)
+    for i in range(groups - 1):
+        passed = passed + (F.col(edt) >= bounds.select(f"t{i}").scalar()).cast("int")
+    return pages.withColumn(name, passed)
 
 
 def equal_groups(pages: DataFrame, order: Sequence[Column], count: int, within: Sequence[str] = (), name: str = "slice") -> DataFrame:
@@ -108,7 +110,7 @@ def imbalanced_groups(members: DataFrame, group: Sequence[str], invalidations_co
 def candidates_below_average(members: DataFrame, group: str, valid: str) -> DataFrame:
     """Blocks with fewer valid pages than the mean of their group."""
     mean = F.avg(valid).over(W.partitionBy(group))
-    return members.withColumn("group_mean", F.round(mean, 6)).where(F.col(valid) < mean)
+    return members.withColumn("group_mean", mean).where(F.col(valid) < F.col("group_mean")).withColumn("group_mean", F.round("group_mean", 6))
 
 
 def closest_block(wanted: DataFrame, blocks: DataFrame, on: Sequence[str], target: str, edt: str, block: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from keelson.plans import objects, relations
+from keelson.plans import objects, relations, writes
 
-_PARTS = (relations, objects)
+_PARTS = (relations, objects, writes)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _part in _PARTS:

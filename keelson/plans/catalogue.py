@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from keelson.plans import objects, relations, writes
+from keelson.plans import objects, relations, workloads, writes
 
-_PARTS = (relations, objects, writes)
+_PARTS = (relations, objects, writes, workloads)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _part in _PARTS:

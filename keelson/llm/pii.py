@@ -49,7 +49,9 @@ CARD = r"(?<![\d+-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\d-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]\d{3,4}(?![\d-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-NAME = rf"(?<=(?<!\p{{L}})(?:{_TITLES})\.? ){_NAME}|(?<=(?<!\p{{L}})(?:{_TITLES})\.? {_NAME} ){_NAME}"
+TITLE = rf"(?<!\p{{L}})(?:{_TITLES})\.? (?=\p{{Lu}}\p{{L}})"
+#: A title and one or two names, parted again by name_parts().
+NAME = rf"{TITLE}{_NAME}(?: {_NAME})?"
 #: The first alternative that matches at a place decides.
 PATTERN = "|".join((EMAIL, IP, CARD, SSN, PHONE, IBAN, NAME))
 KINDS = ("email", "ip", "card", "ssn", "phone", "iban", "given_m", "given_f", "name")
@@ -57,6 +59,21 @@ MAX_ATTEMPTS = 64
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
+def name_parts(found: Column, pieces: Column) -> tuple[Column, Column]:
+    """found and pieces with each titled name as one match for each name; the title goes to
+    the piece before it."""
+    titled = lambda m: m.rlike(f"^{TITLE}")
+    title = lambda m: F.regexp_extract(m, f"^({TITLE})", 1)
+    names = lambda m: F.split(F.regexp_replace(m, f"^{TITLE}", ""), " ")
+    matches = F.flatten(F.transform(found, lambda m: F.when(titled(m), names(m)).otherwise(F.array(m))))
+
+    def gaps(m: Column, i: Column) -> Column:
+        first = F.concat(F.get(pieces, i), title(m))
+        return F.when(titled(m) & (F.size(names(m)) > 1), F.array(first, F.lit(" "))).otherwise(F.array(first))
+
+    return matches, F.concat(F.flatten(F.transform(found, gaps)), F.array(F.element_at(pieces, -1)))
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -174,9 +191,14 @@ def choose_surrogates(entities: DataFrame, key: str) -> DataFrame:
 def replace_private(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text with surrogates, n_entities, kinds (sorted, distinct) for each row."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.withColumn("found", F.coalesce(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")))
+    # every entity has an at sign, a digit before a digit or separator, or a title
+    may_hold = F.col("text").contains("@") | F.col("text").rlike("[0-9][0-9().-]") | F.col("text").rlike(NAME)
+    found = F.when(may_hold, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("found", F.coalesce(found, F.array().cast("array<string>")))
     plain = rows.where(F.size("found") == 0).select("doc_id", "text", F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
     holding = cut_lineage(rows.where(F.size("found") > 0).select(F.monotonically_increasing_id().alias("row"), "doc_id", "found", F.split("text", PATTERN, -1).alias("pieces")))
+    parted = name_parts(F.col("found"), F.col("pieces"))
+    holding = holding.select("row", "doc_id", parted[0].alias("found"), parted[1].alias("pieces"))
     places = holding.select("row", F.posexplode("found").alias("at", "value"), "found", "pieces")
     places = places.select(
         "row", "at", "value",

@@ -108,11 +108,9 @@ def shards(prints: DataFrame, masks: list[int], again_masks) -> DataFrame:
     gather = F.collect_list("fingerprint").alias("members")
     small = dealt.join(large, ["m", "bits"], "left_anti").groupBy("m", "bits").agg(gather)
     hot = dealt.join(large, ["m", "bits"], "left_semi")
-    again = None
-    for number, mask in enumerate(masks):
-        free = again_masks(~mask & (1 << 64) - 1)
-        part = _deal(hot.where(F.col("m") == number), free, ["m2", "bits2"])
-        again = part if again is None else again.unionByName(part)
+    table = F.array(*[F.array(*[F.lit(_signed(x)) for x in again_masks(~m & (1 << 64) - 1)]) for m in masks])
+    again = hot.select("fingerprint", "m", "bits", F.posexplode(F.get(table, F.col("m"))).alias("m2", "mask"))
+    again = again.withColumn("bits2", F.col("fingerprint").bitwiseAND(F.col("mask")))
     split = again.groupBy("m", "bits", "m2", "bits2").agg(gather)
     return small.select("members").unionByName(split.select("members")).where(F.size("members") > 1)
 

@@ -139,3 +139,8 @@ def nu_rand(a: Column, b: Column, low: int, high: int, constant: int) -> Column:
 
 def scalar_json(text: Column, field: str) -> Column:
     return F.get_json_object(text, f"$.{field}")
+
+
+def separator(left: Column, right: Column) -> Column:
+    """The shortest text that sorts after ``left`` and not after ``right``, for left < right."""
+    return F.substring(right, F.lit(1), (shared_prefix(left, right) + 1).cast("int"))

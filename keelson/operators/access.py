@@ -101,3 +101,9 @@ def size_in_pages(relation: DataFrame, page: int = 4096) -> DataFrame:
     size = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in relation.columns])
     total = F.coalesce(F.sum(size), F.lit(0)).cast("long")
     return relation.agg(total.alias("bytes")).withColumn("pages", F.ceil(F.col("bytes") / page))
+
+
+def map_records(relation: DataFrame, change, schema: str) -> DataFrame:
+    """Records through a function of a pandas table, batch by batch, for what expressions
+    can't say. The function may run again on the same batch, so it has no side effects."""
+    return relation.mapInPandas(lambda batches: map(change, batches), schema)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -140,3 +142,16 @@ def tail_split(pages: Column, count: int = TIERS) -> Column:
         return F.struct((acc["rest"] - times * tier["s"]).alias("rest"), F.concat(acc["out"], F.array_repeat(tier["t"], times)).alias("out"))
 
     return F.aggregate(tiers, start, step)["out"]
+
+
+def compressed_size(column: str, level: int = 1, block: int = 4096) -> Column:
+    """Bytes of a value compressed by zlib, and those of the whole blocks that hold them.
+    No built-in function compresses, so this goes through Arrow batches."""
+
+    @F.arrow_udf("struct<bytes:bigint,stored:bigint>")
+    def measure(values: pa.Array) -> pa.Array:
+        sizes = [None if v.as_py() is None else len(zlib.compress(v.as_py(), level)) for v in values]
+        whole = [None if s is None else -(-s // block) * block for s in sizes]
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(whole, pa.int64())], ["bytes", "stored"])
+
+    return measure(content(column))

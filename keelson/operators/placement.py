@@ -178,3 +178,13 @@ def rewrite_candidates(pages: DataFrame, valid: str, next_gc: str, group: Sequen
     from keelson.operators.aggregates import within_budget
 
     return within_budget(pages.where(F.col(valid)), group, [F.col(next_gc).desc()], size, budget)
+
+
+def oldest_victim(blocks: DataFrame, group: Sequence[str], place: str) -> DataFrame:
+    """First in, first out: the block that comes first in its list."""
+    return _first(blocks, group, F.col(place))
+
+
+def random_victim(blocks: DataFrame, group: Sequence[str], place: str, seed: int) -> DataFrame:
+    """A random block of each group, the same for the same seed."""
+    return _first(blocks, group, F.xxhash64(F.lit(seed), place), F.col(place))

@@ -102,6 +102,11 @@ def _(t):
     return t.documents.select("doc_id", F.col("n_chars").alias("pages"), blob.tail_split(F.col("n_chars")).alias("tiers"))
 
 
+@add("page_compression", None)
+def _(t):
+    return t.pages.select("page_id", blob.compressed_size("html").alias("z")).select("page_id", "z.bytes", "z.stored")
+
+
 @add("popularity_cdf", "SELECT doc_id, CAST(sum(n_chars) OVER (ORDER BY doc_id) AS BIGINT) AS cumulative FROM documents")
 def _(t):
     return running_total(t.documents.select("doc_id", "n_chars"), "doc_id", {"cumulative": "n_chars"}, cell=64).select("doc_id", "cumulative")

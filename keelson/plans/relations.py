@@ -246,3 +246,13 @@ def _(t):
 def _(t):
     rows = t.customer.where("c_acctbal > 0").select("c_nationkey", "c_custkey", "c_acctbal")
     return aggregates.within_budget(rows, ["c_nationkey"], [F.desc("c_acctbal"), F.col("c_custkey")], "c_acctbal", 20000)
+
+
+@add("random_rows", None)
+def _(t):
+    return aggregates.sample_rows(t.part.select("p_partkey", "p_name"), "p_partkey", 20, seed=3)
+
+
+@add("record_callback", "SELECT p_partkey, p_size * 2 AS p_size FROM part")
+def _(t):
+    return access.map_records(t.part.select("p_partkey", "p_size"), lambda part: part.assign(p_size=part.p_size * 2), "p_partkey long, p_size int")

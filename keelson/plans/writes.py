@@ -123,6 +123,16 @@ def _(t):
     return chosen.select("grp", "block", "invalid", F.col("order").cast("long").alias("place"))
 
 
+@add("gc_fifo", _victim("block"))
+def _(t):
+    return placement.oldest_victim(blocks(t), ["grp"], "block").select("grp", "block", "valid", "edt")
+
+
+@add("gc_random", None)
+def _(t):
+    return placement.random_victim(blocks(t), ["grp"], "block", 7).select("grp", "block", "valid", "edt")
+
+
 @add("gc_trigger", f"SELECT count(*) FILTER (valid > 0) >= count(*) - 5 AND count(*) FILTER (valid = 0) = 0 AS collect FROM {_VALID}")
 def _(t):
     state = F.when(F.col("valid") > 0, "FULL").otherwise("EMPTY")

@@ -52,3 +52,16 @@ def transactions(entries: DataFrame, ts: str, key: Sequence[str], kind: str, ope
     for s in same:
         condition = condition & s
     return started.join(ended, condition, "leftOuter").select(*key, "started", "ended")
+
+
+def write_metrics(metrics: DataFrame, path: str, checkpoint: str, every: str = "1 second"):
+    """Starts writing closed windows as CSV rows; returns the streaming query."""
+    sink = metrics.writeStream.format("csv").option("header", True).outputMode("append")
+    return sink.option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def write_relation_versions(changes: DataFrame, apply, checkpoint: str):
+    """Starts a stream of mutations: each batch of changes goes through ``apply(batch, id)``,
+    which publishes the next version of a relation. A batch that is run again after a
+    failure has the same id, so publishing by id makes it take effect once."""
+    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()

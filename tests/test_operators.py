@@ -107,6 +107,14 @@ def test_blobs(spark):
     assert bytes(grown.blob) == pages[2] * 2
 
 
+def test_compression(spark):
+    import zlib
+
+    table = spark.createDataFrame([(0, bytes(1024)), (1, bytes(range(256)) * 40), (2, None)], "id int, blob binary")
+    got = {r.id: (r.z.bytes, r.z.stored) for r in table.select("id", blob.compressed_size("blob").alias("z")).collect()}
+    assert got[0] == (len(zlib.compress(bytes(1024), 1)), 4096) and got[1][1] % 4096 == 0 and got[2] == (None, None)
+
+
 def test_extents(spark):
     sizes = blob.tier_sizes(100)
     assert sizes[:9] == [1, 2, 4, 8, 16, 32, 64, 128, 256] and sizes[9] == 384
@@ -150,6 +158,9 @@ def test_scalars(spark):
     assert [r.v for r in longs.orderBy(scalar.fold_long(F.col("v"))).collect()] == big
     texts = spark.createDataFrame([("abc", "abd"), ("", "x"), ("same", "same"), ("ab", "abc")], "a string, b string")
     assert [r[0] for r in texts.select(scalar.shared_prefix(F.col("a"), F.col("b"))).collect()] == [2, 0, 4, 2]
+    words = sorted({"apple", "apply", "applying", "b", "bad", "z"})
+    pairs = spark.createDataFrame(list(zip(words, words[1:])), "a string, b string").withColumn("s", scalar.separator(F.col("a"), F.col("b")))
+    assert all(r.a < r.s <= r.b for r in pairs.collect())
     one = spark.range(1).select(scalar.last_name(F.lit(371)).alias("n"), scalar.pages_of(F.lit(4097)).alias("p"), scalar.write_amplification(F.lit(True), F.lit(True), F.lit(0.5), F.lit(1.0)).alias("w"), scalar.device_path(F.lit("use /dev/nvme2n1 now")).alias("d")).first()
     assert tuple(one) == ("PRICALLYOUGHT", 2, 2.0, "/dev/nvme2")
 

@@ -85,3 +85,19 @@ def test_transactions_are_paired(feed):
     program = lambda s: metrics.transactions(s, "ts", ["worker", "gsn"], "kind", "start", "commit", "60 seconds")
     ends = {r.worker: r.ended for r in feed(program, "append", batches)}
     assert ends[1] == at(2) and ends[2] is None and ends[3] == at(300)
+
+
+def test_metrics_sink_and_versions(spark, tmp_path):
+    source = tmp_path / "in"
+    spark.createDataFrame([row(0.2), row(0.4), row(90)], SCHEMA).coalesce(1).write.json(str(source))
+    stream = spark.readStream.schema(SCHEMA).json(str(source))
+    windows = metrics.per_window(stream, "ts", "1 second", {"n": F.count(F.lit(1))}, late="5 seconds")
+    query = metrics.write_metrics(windows, str(tmp_path / "out"), str(tmp_path / "c1"))
+    query.processAllAvailable()
+    query.stop()
+    assert [r.n for r in spark.read.option("header", True).csv(str(tmp_path / "out")).collect()] == ["2"]
+    publish = lambda batch, number: batch.write.mode("overwrite").parquet(str(tmp_path / f"v{number}"))
+    query = metrics.write_relation_versions(spark.readStream.schema(SCHEMA).json(str(source)), publish, str(tmp_path / "c2"))
+    query.processAllAvailable()
+    query.stop()
+    assert spark.read.parquet(str(tmp_path / "v0")).count() == 3

@@ -125,11 +125,14 @@ def tier_table(spark, count: int = TIERS) -> DataFrame:
     return spark.createDataFrame(rows, "tier int, size_pages long, low long, cumulative_pages long")
 
 
-def extent_span(blobs: DataFrame, pages: Column, tiers: DataFrame) -> DataFrame:
-    """blobs with pages and the number of extents that hold them."""
-    sized = blobs.withColumn("pages", pages)
-    table = F.broadcast(tiers.select("low", "cumulative_pages", (F.col("tier") + 1).cast("long").alias("extents")))
-    return sized.join(table, (sized["pages"] > table["low"]) & (sized["pages"] <= table["cumulative_pages"])).drop("low", "cumulative_pages")
+def extent_count(pages: Column, count: int = TIERS) -> Column:
+    """How many extents, from the first tier on, hold so many pages: 1 for none. A chain of
+    comparisons that ends at the first tier that suffices; NULL beyond the last one."""
+    chain, total = F, 0
+    for tier, size in enumerate(tier_sizes(count)):
+        total += size
+        chain = chain.when(pages <= total, tier + 1)
+    return chain.cast("long")
 
 
 def tail_split(pages: Column, count: int = TIERS) -> Column:

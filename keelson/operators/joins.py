@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A bounds table up to so many rows may be broadcast.
-MAX_BOUNDS = 100_000
-
 
 def as_of(probes: DataFrame, history: DataFrame, group: Sequence[str], at: str, fields: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
     """Each probe with the fields of the latest history row of its group at or before it.
@@ -36,17 +33,19 @@ def with_bounds(cumulative: DataFrame, by: str, key: str, low: str = "low", high
 def assign_interval(values: DataFrame, value: Column, bounds: DataFrame, low: str, high: str) -> DataFrame:
     """values with the row of the interval [low, high) that ``value`` falls in.
 
-    The bounds are one sorted array that goes to every task when they number MAX_BOUNDS at
-    most; more are bucketed by powers of two so that the join stays an equality.
+    Intervals don't overlap. The line is cut in as many cells as there are intervals, so
+    these lie in twice as many cells at most, and the join is an equality on the cell with
+    the bounds as a residue: no pair of a value and every interval is ever tried.
     """
-    if bounds.limit(MAX_BOUNDS + 1).count() <= MAX_BOUNDS:
-        table = F.broadcast(bounds)
-        return values.withColumn("__v", value).join(table, (F.col("__v") >= table[low]) & (F.col("__v") < table[high])).drop("__v")
-    width = bounds.agg(F.max(F.col(high) - F.col(low))).first()[0]
-    cell = lambda c: F.floor(c / F.lit(width)).cast("long")
+    span = bounds.agg(F.count(F.lit(1)).alias("n"), F.min(low).alias("lo"), F.max(high).alias("hi")).first()
+    if not span.n:
+        return values.withColumn("__v", value).join(bounds, F.lit(False)).drop("__v")
+    start, width = float(span.lo), max((float(span.hi) - float(span.lo)) / span.n, 1e-300)
+    cell = lambda c: F.floor((c - F.lit(start)) / F.lit(width)).cast("long")
     celled = bounds.withColumn("__cell", F.explode(F.sequence(cell(F.col(low)), cell(F.col(high)))))
     probe = values.withColumn("__v", value).withColumn("__cell", cell(F.col("__v")))
-    return probe.join(celled, "__cell").where((F.col("__v") >= F.col(low)) & (F.col("__v") < F.col(high))).drop("__v", "__cell")
+    inside = (F.col("__v") >= F.col(low)) & (F.col("__v") < F.col(high))
+    return probe.join(celled, "__cell").where(inside).drop("__v", "__cell")
 
 
 def content_join(left: DataFrame, right: DataFrame, left_content: str, right_content: str, how: str = "inner") -> DataFrame:

@@ -94,7 +94,7 @@ def _(t):
 @add("extent_span", f"SELECT doc_id, p AS pages, tier + 1 AS extents FROM (SELECT doc_id, (octet_length(encode(text)) + 4095) // 4096 AS p FROM documents) JOIN {_TIERS} ON p > low AND p <= cumulative_pages")
 def _(t):
     pages = scalar.pages_of(F.octet_length(F.col("text").cast("binary")).cast("long"))
-    return blob.extent_span(t.documents.select("doc_id", "text"), pages, blob.tier_table(t.spark)).select("doc_id", "pages", "extents")
+    return t.documents.select("doc_id", pages.alias("pages")).withColumn("extents", blob.extent_count(F.col("pages")))
 
 
 @add("tail_split", None)

@@ -119,9 +119,8 @@ def test_extents(spark):
     sizes = blob.tier_sizes(100)
     assert sizes[:9] == [1, 2, 4, 8, 16, 32, 64, 128, 256] and sizes[9] == 384
     tiers = blob.tier_table(spark, 100)
-    low = tiers.select(F.col("tier").alias("id"), (F.col("low") + 1).alias("pages"))
-    spans = blob.extent_span(low, F.col("pages"), tiers).collect()
-    assert all(r.extents == r.id + 1 for r in spans) and len(spans) == 100
+    ends = tiers.select("tier", blob.extent_count(F.col("low") + 1).alias("first"), blob.extent_count(F.col("cumulative_pages")).alias("last"))
+    assert all(r.first == r.last == r.tier + 1 for r in ends.collect())
     got = spark.createDataFrame([(0,), (1,), (7,), (1000,), (12345,)], "n long").select("n", blob.tail_split(F.col("n")).alias("t")).collect()
     assert [sum(sizes[t] for t in r.t) for r in got] == [0, 1, 7, 1000, 12345]
     assert all(r.t == sorted(r.t, reverse=True) for r in got)
@@ -138,15 +137,12 @@ def test_best_fit(spark):
     assert all(len(b) <= 2 and (sum(b) <= 4096 or len(b) == 1) for b in bins.values())
 
 
-def test_intervals_wide_and_narrow(spark, monkeypatch):
+def test_intervals(spark):
     bounds = spark.createDataFrame([(i, i * i, (i + 1) * (i + 1)) for i in range(50)], "i int, low long, high long")
-    values = spark.range(2500)
-    want = {v: int(v**0.5) for v in range(2500)}
-    narrow = joins.assign_interval(values, F.col("id"), bounds, "low", "high")
-    assert {r.id: r.i for r in narrow.collect()} == want
-    monkeypatch.setattr(joins, "MAX_BOUNDS", 10)
-    wide = joins.assign_interval(values, F.col("id"), bounds, "low", "high")
-    assert {r.id: r.i for r in wide.collect()} == want
+    got = joins.assign_interval(spark.range(-10, 2600), F.col("id"), bounds, "low", "high")
+    assert {r.id: r.i for r in got.collect()} == {v: int(v**0.5) for v in range(2500)}
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+    assert joins.assign_interval(spark.range(5), F.col("id"), bounds.limit(0), "low", "high").count() == 0
 
 
 def test_scalars(spark):

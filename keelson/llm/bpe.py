@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 #: A rank file has at most this many bytes; what is broadcast is checked against it.
 MAX_RANK_FILE = 64 << 20
 #: Chunks and pre-tokens that a worker remembers in each of two generations.
-CHUNK_ENTRIES, PIECE_ENTRIES = 250_000, 600_000
+CACHE_ENTRIES = 400_000
 #: A level of the bitmap has words of 256 bits.
 BIT = [1 << i for i in range(1 << 12)]
 #: Unicode's White_Space, as \s means in the pattern.
@@ -58,8 +59,7 @@ class Codec:
         self.low = [0] * ((max(self.ranks.values(), default=0) >> 8) + 1)
         self.token_bytes = {rank: token for token, rank in self.ranks.items()}
         self.spelled = {str(rank): token for rank, token in self.token_bytes.items()}
-        self.chunks = _Remembered(self._chunk, CHUNK_ENTRIES)
-        self.pieces = _Remembered(self._piece, PIECE_ENTRIES)
+        self.known = _Remembered(self._spell_chunk, CACHE_ENTRIES)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token. Symbol i spans piece[i:following[i]].
@@ -97,20 +97,30 @@ class Codec:
                 before = previous[i]
                 following[i], previous[after], pair[gone], pair[i] = after, i, -1, -1
                 lowest = rank
-                for left, right in ((i, after), (before, i)):
-                    if left < 0 or right == size:
-                        continue
-                    new = ranks.get(piece[left : following[right]])
+                if after < size:
+                    new = ranks.get(piece[i : following[after]])
+                    if new is not None:
+                        pair[i] = new
+                        if new < lowest:
+                            lowest = new
+                        if new in buckets:
+                            heappush(buckets[new], i)
+                        else:
+                            buckets[new] = [i]
+                            low[new >> 8] |= BIT[new & 255]
+                            top |= BIT[new >> 8]
+                if before >= 0:
+                    new = ranks.get(piece[before:after])
                     if new is None:
-                        pair[left] = -1
-                    elif pair[left] != new:
-                        pair[left] = new
+                        pair[before] = -1
+                    elif pair[before] != new:
+                        pair[before] = new
                         if new < lowest:
                             lowest = new
                         if new in buckets:
-                            heappush(buckets[new], left)
+                            heappush(buckets[new], before)
                         else:
-                            buckets[new] = [left]
+                            buckets[new] = [before]
                             low[new >> 8] |= BIT[new & 255]
                             top |= BIT[new >> 8]
                 if lowest < rank:  # a merge can open a lower rank
@@ -126,15 +136,18 @@ class Codec:
             i = following[i]
         return ids
 
-    def _piece(self, piece: str) -> str:
-        return " ".join(map(str, self.merge(piece.encode())))
-
-    def _chunk(self, chunk: str) -> str:
-        return " ".join(map(self.pieces.__getitem__, self.split(chunk)))
+    def _spell_chunk(self, chunk: str) -> str:
+        """Ids of a chunk: a space at most, then no white space; or white space only. One of
+        letters alone is one pre-token, which saves the pattern's work."""
+        body = chunk[1:] if chunk[0] == " " else chunk
+        parts = [chunk] if body.isalpha() else self.split(chunk)
+        if len(parts) > 1:
+            return " ".join(map(self.known.__getitem__, parts))
+        return " ".join(map(str, self.merge(chunk.encode())))
 
     def spell(self, text: str) -> str:
         """The ids of a text in decimal, joined by one space."""
-        return " ".join(map(self.chunks.__getitem__, CHUNK.findall(text)))
+        return " ".join(map(self.known.__getitem__, CHUNK.findall(text)))
 
     def encode(self, text: str) -> list[int]:
         spelled = self.spell(text)
@@ -189,7 +202,10 @@ def encode_texts(docs: DataFrame, rank_path: str, pattern: str, text: str = "tex
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(shared, pattern)
         for batch in batches:
-            yield pa.array([codec.encode(x or "") for x in batch.to_pylist()], pa.list_(pa.int32()))
+            parts = [np.fromstring(codec.spell(x.as_py() or ""), np.int32, sep=" ") for x in batch]
+            ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+            flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
     return docs.withColumn(into, encode(F.col(text)))
 

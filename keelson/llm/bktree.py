@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 #: (query, node) pairs that a search holds at once.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 18
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -45,7 +45,7 @@ class Forest:
     def within(self, queries: np.ndarray, radius: int):
         """Yields arrays (query, value, distance): all values of a query's own tree within
         the radius, for queries given as indexes of values, itself included."""
-        for part in np.array_split(queries, max(1, len(queries) // 4096)):
+        for part in np.array_split(queries, max(1, len(queries) // 1024)):
             yield from self._search(part, self.root[self.shard[part]], radius)
 
     def _search(self, query: np.ndarray, node: np.ndarray, radius: int):

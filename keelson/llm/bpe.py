@@ -24,10 +24,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keelson.llm.common import worker_model
+
 #: A rank file has at most this many bytes; what is broadcast is checked against it.
 MAX_RANK_FILE = 64 << 20
-#: Chunks and pre-tokens that a worker remembers in each of two generations.
-CACHE_ENTRIES = 400_000
+#: Chunks and pre-tokens that a worker remembers in each of two generations, about 200 bytes
+#: each: for a pass that does nothing else, and beside other work.
+CACHE_ENTRIES, SMALL_CACHE = 650_000, 120_000
 #: A level of the bitmap has words of 256 bits.
 BIT = [1 << i for i in range(1 << 12)]
 #: Unicode's White_Space, as \s means in the pattern.
@@ -53,13 +56,13 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
 class Codec:
     """Encodes and decodes with one rank table. A worker keeps one."""
 
-    def __init__(self, raw: bytes, pattern: str):
+    def __init__(self, raw: bytes, pattern: str, entries: int = SMALL_CACHE):
         self.ranks = parse_ranks(raw)
         self.split = regex.compile(pattern).findall
         self.low = [0] * ((max(self.ranks.values(), default=0) >> 8) + 1)
         self.token_bytes = {rank: token for token, rank in self.ranks.items()}
         self.spelled = {str(rank): token for rank, token in self.token_bytes.items()}
-        self.known = _Remembered(self._spell_chunk, CACHE_ENTRIES)
+        self.known = _Remembered(self._spell_chunk, entries)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token. Symbol i spans piece[i:following[i]].
@@ -179,28 +182,20 @@ class _Remembered(dict):
         return value
 
 
-_CODECS: dict[tuple[int, str], Codec] = {}
-
-
-def _codec(shared, pattern: str) -> Codec:
-    key = (shared.id, pattern) if hasattr(shared, "id") else (id(shared), pattern)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(shared.value, pattern)
-    return _CODECS[key]
-
-
-def _share(spark: SparkSession, rank_path: str):
-    return spark.sparkContext.broadcast(load_ranks(rank_path))
+def _share(spark: SparkSession, rank_path: str, pattern: str, entries: int = SMALL_CACHE):
+    """A function for tasks that gives the worker's codec of this table and pattern."""
+    raw = load_ranks(rank_path)
+    key, shared = (hashlib.sha256(raw).hexdigest(), pattern, entries), spark.sparkContext.broadcast(raw)
+    return lambda: worker_model(key, lambda: Codec(shared.value, pattern, entries))
 
 
 def encode_texts(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", into: str = "token_ids") -> DataFrame:
     """docs with the column ``into`` (array<int>): the ids of the text."""
-    shared = _share(docs.sparkSession, rank_path)
+    own_codec = _share(docs.sparkSession, rank_path, pattern)
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _codec(shared, pattern)
+        codec = own_codec()
         for batch in batches:
             parts = [np.fromstring(codec.spell(x.as_py() or ""), np.int32, sep=" ") for x in batch]
             ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
@@ -213,11 +208,11 @@ def encode_texts(docs: DataFrame, rank_path: str, pattern: str, text: str = "tex
 def decode_ids(rows: DataFrame, rank_path: str, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
     """rows with the column ``into`` (binary): the bytes that the ids stand for. Null ids
     decode to null; an id outside the table fails the query."""
-    shared = _share(rows.sparkSession, rank_path)
+    own_codec = _share(rows.sparkSession, rank_path, "")
 
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _codec(shared, "")
+        codec = own_codec()
         for batch in batches:
             yield pa.array([None if x is None else codec.decode(x) for x in batch.to_pylist()], pa.binary())
 
@@ -229,12 +224,12 @@ def round_trip_digests(docs: DataFrame, rank_path: str, pattern: str, doc_id: st
 
     Ids stay inside the task; only digests leave it, so no shuffle and no wide column.
     """
-    shared = _share(docs.sparkSession, rank_path)
+    own_codec = _share(docs.sparkSession, rank_path, pattern, CACHE_ENTRIES)
     kind = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
 
     @F.arrow_udf(kind)
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _codec(shared, pattern)
+        codec = own_codec()
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
             counts, ids, decoded = [], [], []

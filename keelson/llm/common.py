@@ -41,6 +41,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_HELD: list = [None, None]
+
+
+def worker_model(key, build=lambda: None):
+    """What a Python worker holds between tasks: one operator's model at a time.
+
+    Asking with another key drops the last one, so that the operators of a long session
+    don't add up in a worker; an operator without a model asks to free the memory.
+    """
+    if _HELD[0] != key:
+        _HELD[:] = [None, None]
+        _HELD[:] = [key, build()]
+    return _HELD[1]
+
+
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo: the split that held-out contracts use."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import WordBatch, cut_lineage, slices
+from keelson.llm.common import WordBatch, cut_lineage, slices, worker_model
 
 FEATURES = (
     "log_words", "mean_word", "word_deviation", "upper", "digits", "marks", "symbols", "line_ends",
@@ -98,6 +98,7 @@ def text_statistics(text: Column) -> Column:
 
     @F.arrow_udf("array<double>")
     def measure(texts: pa.Array) -> pa.Array:
+        worker_model("quality")
         parts = [statistics(part) for _, part in slices(texts)]
         rows = np.concatenate(parts) if parts else statistics(texts)
         places = np.arange(0, rows.size + 1, len(FEATURES), dtype=np.int32)

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keelson.llm.common import worker_model
+
 KINDS = ("assign", "access", "hex")
 #: The three patterns that every text is scanned for: fixed values.
 ASSIGN = re.compile(
@@ -225,6 +227,7 @@ def redact(text: Column, mask: str = "[SECRET]") -> Column:
 
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
+        worker_model("secrets")
         out = []
         for value in texts:
             whole = value.as_py()

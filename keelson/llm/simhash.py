@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.bktree import Forest, components
-from keelson.llm.common import cut_lineage
+from keelson.llm.common import cut_lineage, worker_model
 from keelson.llm.graph import connected_components
 from keelson.llm.sketch import shingle_hashes, words_of
 
@@ -36,6 +36,8 @@ MAX_SHARD = 4096
 #: deduplicate(): fingerprints this near are compared word by word; shards by so many
 #: sampled masks; what counts as a near copy; words in a shingle of the comparison.
 WIDE_RADIUS, WIDE_MASKS, SIMILARITY, SHINGLE = 12, 64, 0.8, 5
+#: Numbers of texts to compare that may be broadcast; more are joined by shuffling.
+MAX_SENT = 200_000
 
 
 def fingerprint_of(text: str, size: int) -> int:
@@ -62,6 +64,7 @@ def fingerprint(text: Column, size: int = 5) -> Column:
 
     @F.arrow_udf("bigint")
     def simhash(texts: pa.Array) -> pa.Array:
+        worker_model("simhash")
         return pa.array([fingerprint_of(x.as_py() or "", size) for x in texts], pa.int64())
 
     return simhash(text)
@@ -156,8 +159,8 @@ def near_components(docs: DataFrame, radius: int = 2, size: int = 5, doc_id: str
 
 
 def _shard_candidates(radius: int):
-    """Links of each member to the first one within the radius and to the nearest ones: at
-    most four a member and shard, whatever the group, and all of a group's are joined."""
+    """Links of each member to the first one within the radius and to the nearest one: at
+    most two for a member and shard, whatever the group, and all of a group's are joined."""
 
     def links(batches):
         for batch in batches:
@@ -166,24 +169,27 @@ def _shard_candidates(radius: int):
             shard = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
             order = np.lexsort((values, shard))
             values, shard = values[order], shard[order]
+            size = len(values)
+            first, nearest = np.full(size, size), np.full(size, 65 * size)
             forest = Forest(values.view(np.uint64), shard)
-            for query, node, distance in forest.within(np.arange(len(values)), radius):
+            for query, node, distance in forest.within(np.arange(size), radius):
                 other = query != node
                 query, node, distance = query[other], node[other], distance[other]
-                kept = np.zeros(len(query), bool)
-                for rank in (np.lexsort((node, query)), np.lexsort((node, distance, query))):
-                    own = query[rank]
-                    first = np.searchsorted(own, own)
-                    kept[rank[np.arange(len(own)) - first < 2]] = True
-                a, b = values[query[kept]], values[node[kept]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+                np.minimum.at(first, query, node)
+                np.minimum.at(nearest, query, distance * size + node)
+            linked = np.flatnonzero(first < size)
+            a = values[np.concatenate([linked, linked])]
+            b = values[np.concatenate([first[linked], nearest[linked] % max(size, 1)])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
     return links
 
 
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of texts (node, text) whose shingle sets overlap by SIMILARITY."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    if named.count() <= MAX_SENT:  # 8 bytes each: texts needn't be shuffled to find the few
+        named = F.broadcast(named)
     hashed = texts.join(named, "node", "left_semi").withColumn("words", words_of(F.col("text")))
     sets = hashed.select("node", F.array_distinct(shingle_hashes(F.col("words"), SHINGLE)).alias("s"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
@@ -192,6 +198,25 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def _verified_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between similar texts that join all that the similar ones of ``pairs`` join.
+
+    First only each text's pairs with its smallest partner and with one picked by a hash are
+    compared. Of the others those within one class by then add nothing and are left out, so
+    a group of thousands isn't compared pair by pair; the rest are compared too.
+    """
+    ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    chosen = ways.groupBy("a").agg(F.min("b").alias("first"), F.min_by("b", F.xxhash64("a", "b")).alias("other"))
+    chosen = chosen.select("a", F.explode(F.array("first", "other")).alias("b"))
+    chosen = chosen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = cut_lineage(_similar(chosen, texts))
+    roots = cut_lineage(connected_components(links, "a", "b"))
+    root = lambda end, name: roots.select(F.col("node").alias(end), F.col("root").alias(name))
+    rest = pairs.join(chosen, ["a", "b"], "left_anti").join(root("a", "x"), "a", "left").join(root("b", "y"), "b", "left")
+    rest = rest.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+    return links.unionByName(_similar(cut_lineage(rest), texts))
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """node, doc_id, keep for each distinct (text, id): keep is true for one id of each
     class of near copies, the smallest. node is a 64-bit hash of the text.
@@ -213,7 +238,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     same = prints.select("fingerprint", "node").distinct().join(heads, "fingerprint").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     across = near.join(heads.select(F.col("fingerprint").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fingerprint").alias("b"), F.col("head").alias("y")), "b")
     pairs = cut_lineage(same.unionByName(across.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))).distinct())
-    links = _similar(pairs, texts.select("node", "text"))
+    links = _verified_links(pairs, texts.select("node", "text"))
     roots = connected_components(links, "a", "b")
     firsts = prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first"))
     classes = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -224,8 +249,9 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, all columns, with one row of each class of exact and near copies: the one of
     smallest id. Of rows that share text and that id any one stays."""
-    kept = near_copies(docs, doc_id, text).where("keep").select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"))
+    own = F.coalesce(F.col(doc_id).cast("string"), F.lit("-"))
     node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.withColumns({"__key": node, "__own": F.col(doc_id)})
-    same = (rows["__key"] == kept["__node"]) & rows["__own"].eqNullSafe(kept["__id"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = near_copies(docs, doc_id, text).where("keep").select(F.col("node").alias("__key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("__own"))
+    # by text and id, not by text alone: copies of one text are dealt to many tasks
+    rows = docs.withColumns({"__key": node, "__own": own}).join(kept, ["__key", "__own"], "left_semi")
+    return rows.dropDuplicates(["__key", "__own"]).select(*[F.col(f"`{c}`") for c in docs.columns])

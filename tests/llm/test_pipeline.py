@@ -1,8 +1,6 @@
 import random
-import re
 
 from keelson.llm import simhash
-from pyspark.sql import functions as F
 
 
 def variants(rng, words, share):

@@ -38,6 +38,8 @@ MAX_SHARD = 4096
 WIDE_RADIUS, WIDE_MASKS, SIMILARITY, SHINGLE = 12, 64, 0.8, 5
 #: Numbers of texts to compare that may be broadcast; more are joined by shuffling.
 MAX_SENT = 200_000
+#: Bits of an outline: which of so many classes of hashes a text's shingles fall in.
+OUTLINE = 1024
 
 
 def fingerprint_of(text: str, size: int) -> int:
@@ -59,6 +61,42 @@ def fingerprint_of(text: str, size: int) -> int:
     return int(np.packbits(bits * 2 > len(packed), bitorder="little").view(np.int64)[0])
 
 
+def outline_of(text: str, size: int) -> tuple[int, list[int]]:
+    """The number of distinct shingles of a text, and OUTLINE bits, in 64-bit words, of
+    which those are set that some shingle's hash names."""
+    words = text.lower().encode().split()
+    spans = max(len(words) - size + 1, 1 if words else 0)
+    hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), SEED) for i in range(spans)], np.uint64)
+    bits = np.zeros(OUTLINE, bool)
+    bits[(hashes % np.uint64(OUTLINE)).astype(np.int64)] = True
+    return len(np.unique(hashes)), np.packbits(bits, bitorder="little").view(np.int64).tolist()
+
+
+def outline(text: Column, size: int = SHINGLE) -> Column:
+    """struct<size: bigint, bits: array<bigint>>; see outline_of. Null counts as empty."""
+
+    @F.arrow_udf("struct<size:bigint,bits:array<bigint>>")
+    def draw(texts: pa.Array) -> pa.Array:
+        worker_model("simhash")
+        drawn = [outline_of(x.as_py() or "", size) for x in texts]
+        kinds = [pa.int64(), pa.list_(pa.int64())]
+        parts = [pa.array([x[i] for x in drawn], kind) for i, kind in enumerate(kinds)]
+        return pa.StructArray.from_arrays(parts, ["size", "bits"])
+
+    return draw(text)
+
+
+def may_be_similar(x: Column, y: Column) -> Column:
+    """False only where no overlap of SIMILARITY is possible, by the outlines of two texts.
+
+    Each bit of x that y lacks stands for at least one shingle that y lacks, so both sizes
+    less such bits bound what is common. Outlines of long texts are full and pass.
+    """
+    alone = lambda p, q: F.aggregate(F.zip_with(p["bits"], q["bits"], lambda m, n: F.bit_count(m.bitwiseAND(F.bitwise_not(n)))), F.lit(0), lambda total, n: total + n)
+    most = F.least(x["size"] - alone(x, y), y["size"] - alone(y, x))
+    return most >= SIMILARITY * (x["size"] + y["size"] - most)
+
+
 def fingerprint(text: Column, size: int = 5) -> Column:
     """bigint: the SimHash of a text; null counts as empty."""
 
@@ -223,20 +261,22 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Fingerprints of 3-word shingles within WIDE_RADIUS bits, met in one of WIDE_MASKS
     sampled shards, name the candidates; shingle sets of SHINGLE words decide: SIMILARITY
-    or more of their union is common. A mask has as many bits as the number of distinct
+    or more of their union is common. Outlines first leave out those that can't reach it. A mask has as many bits as the number of distinct
     fingerprints, so shards stay small at any size. Sampled shards find nearly all pairs,
     not all: 98 of 100 among 9,000 documents, fewer as the masks grow longer.
     """
     node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     texts = docs.select(node.alias("node"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    prints = cut_lineage(texts.select("node", "doc_id", fingerprint(F.col("text"), 3).alias("fingerprint")))
+    prints = cut_lineage(texts.select("node", "doc_id", fingerprint(F.col("text"), 3).alias("fingerprint"), outline(F.col("text")).alias("outline")))
     distinct = prints.select("fingerprint").distinct()
     bits = max(16, int(distinct.count()).bit_length())
     found = shards(distinct, sampled_masks(bits, WIDE_MASKS), lambda free: sampled_masks(12, 8, free))
     near = found.mapInArrow(_shard_candidates(WIDE_RADIUS), "a long, b long").distinct()
-    heads = prints.groupBy("fingerprint").agg(F.min("node").alias("head"))
-    same = prints.select("fingerprint", "node").distinct().join(heads, "fingerprint").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    across = near.join(heads.select(F.col("fingerprint").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fingerprint").alias("b"), F.col("head").alias("y")), "b")
+    least = F.min(F.struct("node", "outline"))
+    heads = prints.groupBy("fingerprint").agg(least.alias("least")).select("fingerprint", F.col("least.node").alias("head"), F.col("least.outline").alias("outline"))
+    same = prints.select("fingerprint", "node").distinct().join(heads.drop("outline"), "fingerprint").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    end = lambda key, name: heads.select(F.col("fingerprint").alias(key), F.col("head").alias(name), F.col("outline").alias(f"{name}_outline"))
+    across = near.join(end("a", "x"), "a").join(end("b", "y"), "b").where(may_be_similar(F.col("x_outline"), F.col("y_outline")))
     pairs = cut_lineage(same.unionByName(across.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))).distinct())
     links = _verified_links(pairs, texts.select("node", "text"))
     roots = connected_components(links, "a", "b")

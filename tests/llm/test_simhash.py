@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from keelson.llm import bktree, simhash
 from keelson.llm.graph import connected_components
@@ -111,3 +112,21 @@ def test_documents(spark):
     assert by_id == {5: 3, 3: 3, 9: 7, 8: 7, 7: 7, 2: 2, 4: 2, 6: 6}
     assert got[(7, "0" * 16)] == 7
     assert simhash.near_components(docs.limit(0), 2, 3).count() == 0
+
+
+def test_outlines_exclude_no_similar_pair(spark):
+    draw = random.Random(5)
+    texts = [None, "", "one two", "ONE two", "É a b c d e", "é a b c d e"]
+    for _ in range(12):
+        words = [f"w{draw.randrange(400)}" for _ in range(draw.choice([4, 30, 90, 1500]))]
+        texts.append(" ".join(words))
+        for share in (0.01, 0.03, 0.3):
+            texts.append(" ".join(f"x{draw.randrange(99)}" if draw.random() < share else w for w in words))
+    rows = [(i, x, [w for w in re.split(r"[ \t\n\x0b\x0c\r]+", (x or "").lower()) if w]) for i, x in enumerate(texts)]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1 if w else 0))} for i, _, w in rows}
+    drawn = spark.createDataFrame([r[:2] for r in rows], "i int, text string").select("i", simhash.outline(F.col("text")).alias("o")).cache()
+    both = drawn.crossJoin(drawn.select(F.col("i").alias("j"), F.col("o").alias("p")))
+    kept = {(r.i, r.j) for r in both.where(simhash.may_be_similar(F.col("o"), F.col("p"))).collect()}
+    similar = {(i, j) for i in sets for j in sets if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert similar <= kept
+    assert len(kept) < 2 * len(similar)

@@ -17,7 +17,7 @@ columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
-import random
+import math
 from itertools import combinations
 
 import numpy as np
@@ -29,13 +29,19 @@ from pyspark.sql import functions as F
 from keelson.llm.bktree import Forest, components
 from keelson.llm.common import cut_lineage, worker_model
 from keelson.llm.graph import connected_components
+from keelson.llm.lblm import frequent_words
 from keelson.llm.sketch import shingle_hashes, words_of
 
 SEED = 42
 MAX_SHARD = 4096
-#: deduplicate(): fingerprints this near are compared word by word; shards by so many
-#: sampled masks; what counts as a near copy; words in a shingle of the comparison.
-WIDE_RADIUS, WIDE_MASKS, SIMILARITY, SHINGLE = 12, 64, 0.8, 5
+#: deduplicate(): fingerprints this near are compared first; what counts as a near copy;
+#: words in a shingle of the comparison.
+FIRST_RADIUS, SIMILARITY, SHINGLE = 2, 0.8, 5
+#: Common shingles are counted in one of so many texts; those in at least so many texts of
+#: these, and no more than so many shingles, come last in a text's order.
+COUNTED, COMMON, MOST_COMMON = 16, 4, 100_000
+#: Texts that share a shingle are paired in blocks of about so many.
+BLOCK = 1024
 #: Numbers of texts to compare that may be broadcast; more are joined by shuffling.
 MAX_SENT = 200_000
 #: Bits of an outline: which of so many classes of hashes a text's shingles fall in.
@@ -61,31 +67,74 @@ def fingerprint_of(text: str, size: int) -> int:
     return int(np.packbits(bits * 2 > len(packed), bitorder="little").view(np.int64)[0])
 
 
-def outline_of(text: str, size: int) -> tuple[int, list[int]]:
-    """The number of distinct shingles of a text, and OUTLINE bits, in 64-bit words, of
-    which those are set that some shingle's hash names."""
+def shingles_of(text: str, size: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles, uint64."""
     words = text.lower().encode().split()
     spans = max(len(words) - size + 1, 1 if words else 0)
-    hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), SEED) for i in range(spans)], np.uint64)
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), SEED) for i in range(spans)], np.uint64))
+
+
+def outline_of(hashes: np.ndarray) -> list[int]:
+    """OUTLINE bits, in 64-bit words, of which those are set that some hash names."""
     bits = np.zeros(OUTLINE, bool)
     bits[(hashes % np.uint64(OUTLINE)).astype(np.int64)] = True
-    return len(np.unique(hashes)), np.packbits(bits, bitorder="little").view(np.int64).tolist()
+    return np.packbits(bits, bitorder="little").view(np.int64).tolist()
+
+
+def prefix_of(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first hashes in an order that all texts share: common ones last, by how common.
+
+    There are so many that two texts that overlap by SIMILARITY have one of theirs in common:
+    of n at least SIMILARITY * n are shared, so no more than the rest can come before it.
+    A text without shingles has one of its own kind, as such texts are alike.
+    """
+    if not len(hashes):
+        return np.zeros(1, np.uint64)
+    known, count = common
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        hashes = hashes[np.lexsort((hashes, np.where(known[at] == hashes, count[at], 0)))]
+    return hashes[: len(hashes) - math.ceil(SIMILARITY * len(hashes) - 1e-6) + 1]
+
+
+NONE_COMMON = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def outline(text: Column, size: int = SHINGLE) -> Column:
-    """struct<size: bigint, bits: array<bigint>>; see outline_of. Null counts as empty."""
+def outline(text: Column, size: int = SHINGLE, common=None) -> Column:
+    """struct<size: bigint, bits: array<bigint>, prefix: array<bigint>>: the number of distinct
+    shingles of a text; see outline_of and prefix_of. Null counts as empty. ``common`` is a
+    broadcast of the hashes and counts of common shingles."""
 
-    @F.arrow_udf("struct<size:bigint,bits:array<bigint>>")
+    @F.arrow_udf("struct<size:bigint,bits:array<bigint>,prefix:array<bigint>>")
     def draw(texts: pa.Array) -> pa.Array:
         worker_model("simhash")
-        drawn = [outline_of(x.as_py() or "", size) for x in texts]
-        kinds = [pa.int64(), pa.list_(pa.int64())]
-        parts = [pa.array([x[i] for x in drawn], kind) for i, kind in enumerate(kinds)]
-        return pa.StructArray.from_arrays(parts, ["size", "bits"])
+        order = NONE_COMMON if common is None else common.value
+        sets = [shingles_of(x.as_py() or "", size) for x in texts]
+        drawn = [[len(x) for x in sets], [outline_of(x) for x in sets], [prefix_of(x, order).view(np.int64) for x in sets]]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip(drawn, kinds)], ["size", "bits", "prefix"])
 
     return draw(text)
 
 
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that many texts (node, text) hold, and in how many of those
+    counted. It decides how fast pairs are found, not which."""
+
+    def count(batches):
+        for batch in batches:
+            sets = [shingles_of(x.as_py(), SHINGLE) for x in batch.column(1)]
+            node = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, NONE_COMMON[0]]).view(np.int64)), pa.array(node)], ["word", "node"])
+
+    drawn = texts.where(F.pmod(F.xxhash64(F.lit(29), "node"), F.lit(COUNTED)) == 0).select("node", "text")
+    held = drawn.mapInArrow(count, "word long, node long").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+    rows = frequent_words(cut_lineage(held.where(F.col("c") >= COMMON)), MOST_COMMON)[:MOST_COMMON]
+    known, counts = np.array([r.word for r in rows], np.int64).view(np.uint64), np.array([r.c for r in rows], np.int64)
+    order = np.argsort(known)
+    return known[order], counts[order]
+
+
 def may_be_similar(x: Column, y: Column) -> Column:
     """False only where no overlap of SIMILARITY is possible, by the outlines of two texts.
 
@@ -132,14 +181,6 @@ def _deal(rows: DataFrame, masks: list[int], keys: list[str]) -> DataFrame:
     return dealt.select(*rows.columns, F.col(f"deal.{keys[0]}").alias(keys[0]), bits)
 
 
-def sampled_masks(bits: int, count: int, free: int = (1 << 64) - 1) -> list[int]:
-    """``count`` fixed random masks of ``bits`` of the free bits. Two fingerprints at d
-    differing bits agree on one of them with probability ((64 - bits) over d) / (64 over d)."""
-    places = [i for i in range(64) if free >> i & 1]
-    draw = random.Random(f"{free}:{bits}:{count}")
-    return [sum(1 << p for p in draw.sample(places, min(bits, len(places)))) for _ in range(count)]
-
-
 def shards(prints: DataFrame, masks: list[int], again_masks) -> DataFrame:
     """array<bigint> ``members``: each shard of two or more distinct fingerprints.
     ``again_masks`` gives the masks by which a large shard is dealt again, from its free bits."""
@@ -196,39 +237,13 @@ def near_components(docs: DataFrame, radius: int = 2, size: int = 5, doc_id: str
     return prints.join(named, "fingerprint").select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
-def _shard_candidates(radius: int):
-    """Links of each member to the first one within the radius and to the nearest one: at
-    most two for a member and shard, whatever the group, and all of a group's are joined."""
-
-    def links(batches):
-        for batch in batches:
-            lists = batch.column(0)
-            values = lists.flatten().to_numpy(zero_copy_only=False)
-            shard = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            order = np.lexsort((values, shard))
-            values, shard = values[order], shard[order]
-            size = len(values)
-            first, nearest = np.full(size, size), np.full(size, 65 * size)
-            forest = Forest(values.view(np.uint64), shard)
-            for query, node, distance in forest.within(np.arange(size), radius):
-                other = query != node
-                query, node, distance = query[other], node[other], distance[other]
-                np.minimum.at(first, query, node)
-                np.minimum.at(nearest, query, distance * size + node)
-            linked = np.flatnonzero(first < size)
-            a = values[np.concatenate([linked, linked])]
-            b = values[np.concatenate([first[linked], nearest[linked] % max(size, 1)])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
-
-    return links
-
-
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of texts (node, text) whose shingle sets overlap by SIMILARITY."""
     named = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     if named.count() <= MAX_SENT:  # 8 bytes each: texts needn't be shuffled to find the few
         named = F.broadcast(named)
-    hashed = texts.join(named, "node", "left_semi").withColumn("words", words_of(F.col("text")))
+    once = texts.join(named, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    hashed = once.withColumn("words", words_of(F.col("text")))
     sets = hashed.select("node", F.array_distinct(shingle_hashes(F.col("words"), SHINGLE)).alias("s"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
@@ -236,22 +251,78 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _verified_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between similar texts that join all that the similar ones of ``pairs`` join.
-
-    First only each text's pairs with its smallest partner and with one picked by a hash are
-    compared. Of the others those within one class by then add nothing and are left out, so
-    a group of thousands isn't compared pair by pair; the rest are compared too.
+def _possible(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of items (node, size, bits) that may be similar, a above b."""
+    end = lambda key: items.select(F.col("node").alias(key), F.struct("size", "bits").alias(f"{key}_outline"))
+    pairs = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return pairs.join(end("a"), "a").join(end("b"), "b").where(may_be_similar(F.col("a_outline"), F.col("b_outline"))).select("a", "b")
+
+
+def _cross_pairs(batches):
+    """Pairs of each list's members that are in different classes and blocks to be paired,
+    and whose overlap can reach SIMILARITY if this is the first shingle that they share."""
+    for batch in batches:
+        lists = batch.column(0)
+        length = np.diff(lists.offsets.to_numpy())
+        first = lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]
+        flat = lists.flatten()
+        node, label, size, left, block = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+        across = batch.column(1).to_numpy(zero_copy_only=False)
+        for n in np.unique(length):
+            i, j = np.triu_indices(n, 1)
+            rows = np.flatnonzero(length == n)
+            for part in np.array_split(rows, max(1, len(rows) * len(i) >> 20)):
+                x, y = (first[part][:, None] + k for k in (i, j))
+                most = np.minimum(left[x], left[y])
+                met = (label[x] != label[y]) & (most * (1 + SIMILARITY) >= SIMILARITY * (size[x] + size[y]) - 1e-6)
+                met &= ~across[part][:, None] | (block[x] != block[y])
+                a, b = node[x[met]], node[y[met]]
+                pair = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+
+
+def _pairs_left(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that share a prefix shingle and aren't in one class by roots.
+
+    A shingle of many texts is dealt by pairs of blocks of them, so no task holds them all;
+    one whose texts are all in one class by now adds nothing and is left out.
+    """
+    named = shared.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    named = cut_lineage(named)
+    kinds = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
+    mixed = kinds.where("low <> high").select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = named.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64(F.lit(31), "node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.struct("node", "label", "size", "left", "block").alias("m"))
+    lists = dealt.groupBy("token", "low", "high").agg(F.collect_list("m").alias("members")).where(F.size("members") > 1)
+    return lists.select("members", (F.col("low") != F.col("high")).alias("across")).mapInArrow(_cross_pairs, "a long, b long")
+
+
+def near_links(texts: DataFrame, prints: DataFrame) -> DataFrame:
+    """Links (a, b) between similar distinct texts, which join all that all similar pairs join.
+
+    First each text is compared with those that SimHash shards name (FIRST_RADIUS), with the
+    smallest text that shares a prefix shingle, and with one picked by a hash. Of all other
+    pairs that share a prefix shingle those within one class by then add nothing; the rest
+    are compared too, so nothing is missed and a group of thousands isn't compared pair by
+    pair. ``prints`` has node, fingerprint, outline.
     """
-    ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    chosen = ways.groupBy("a").agg(F.min("b").alias("first"), F.min_by("b", F.xxhash64("a", "b")).alias("other"))
-    chosen = chosen.select("a", F.explode(F.array("first", "other")).alias("b"))
-    chosen = chosen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = cut_lineage(_similar(chosen, texts))
+    items = cut_lineage(prints.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("outline").alias("o")).select("node", "fingerprint", "o.*"))
+    found = shards(items.select("fingerprint").distinct(), shard_masks(FIRST_RADIUS), lambda free: shard_masks(FIRST_RADIUS, free))
+    near = found.mapInArrow(_shard_roots(FIRST_RADIUS), "a long, b long").distinct()
+    heads = items.groupBy("fingerprint").agg(F.min("node").alias("head"))
+    same = items.join(heads, "fingerprint").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    end = lambda key, name: heads.select(F.col("fingerprint").alias(key), F.col("head").alias(name))
+    across = near.join(end("a", "x"), "a").join(end("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    tokens = items.select("node", "size", F.posexplode("prefix").alias("at", "token"))
+    tokens = tokens.select("node", "token", F.col("size").cast("int").alias("size"), (F.col("size") - F.col("at")).cast("int").alias("left"))
+    least = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.min(F.struct(F.xxhash64("node", "token").alias("h"), "node")).alias("other"))
+    least = least.where("n > 1").select("token", "first", F.col("other.node").alias("other"))
+    shared = cut_lineage(tokens.join(least, "token"))
+    stars = [shared.select(F.col("node").alias("a"), F.col(c).alias("b")) for c in ("first", "other")]
+    links = cut_lineage(_similar(cut_lineage(_possible(same.unionByName(across).unionByName(stars[0]).unionByName(stars[1]), items)), texts))
     roots = cut_lineage(connected_components(links, "a", "b"))
-    root = lambda end, name: roots.select(F.col("node").alias(end), F.col("root").alias(name))
-    rest = pairs.join(chosen, ["a", "b"], "left_anti").join(root("a", "x"), "a", "left").join(root("b", "y"), "b", "left")
-    rest = rest.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+    rest = _possible(_pairs_left(shared.drop("first", "other"), roots), items)
     return links.unionByName(_similar(cut_lineage(rest), texts))
 
 
@@ -259,27 +330,14 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """node, doc_id, keep for each distinct (text, id): keep is true for one id of each
     class of near copies, the smallest. node is a 64-bit hash of the text.
 
-    Fingerprints of 3-word shingles within WIDE_RADIUS bits, met in one of WIDE_MASKS
-    sampled shards, name the candidates; shingle sets of SHINGLE words decide: SIMILARITY
-    or more of their union is common. Outlines first leave out those that can't reach it. A mask has as many bits as the number of distinct
-    fingerprints, so shards stay small at any size. Sampled shards find nearly all pairs,
-    not all: 98 of 100 among 9,000 documents, fewer as the masks grow longer.
+    Near copies are texts whose sets of shingles of SHINGLE words have SIMILARITY or more
+    of their union in common; all such pairs are found, whatever their fingerprints.
     """
     node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     texts = docs.select(node.alias("node"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    prints = cut_lineage(texts.select("node", "doc_id", fingerprint(F.col("text"), 3).alias("fingerprint"), outline(F.col("text")).alias("outline")))
-    distinct = prints.select("fingerprint").distinct()
-    bits = max(16, int(distinct.count()).bit_length())
-    found = shards(distinct, sampled_masks(bits, WIDE_MASKS), lambda free: sampled_masks(12, 8, free))
-    near = found.mapInArrow(_shard_candidates(WIDE_RADIUS), "a long, b long").distinct()
-    least = F.min(F.struct("node", "outline"))
-    heads = prints.groupBy("fingerprint").agg(least.alias("least")).select("fingerprint", F.col("least.node").alias("head"), F.col("least.outline").alias("outline"))
-    same = prints.select("fingerprint", "node").distinct().join(heads.drop("outline"), "fingerprint").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    end = lambda key, name: heads.select(F.col("fingerprint").alias(key), F.col("head").alias(name), F.col("outline").alias(f"{name}_outline"))
-    across = near.join(end("a", "x"), "a").join(end("b", "y"), "b").where(may_be_similar(F.col("x_outline"), F.col("y_outline")))
-    pairs = cut_lineage(same.unionByName(across.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))).distinct())
-    links = _verified_links(pairs, texts.select("node", "text"))
-    roots = connected_components(links, "a", "b")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts))
+    prints = cut_lineage(texts.select("node", "doc_id", fingerprint(F.col("text"), 3).alias("fingerprint"), outline(F.col("text"), SHINGLE, common).alias("outline")))
+    roots = connected_components(near_links(texts.select("node", "text"), prints), "a", "b")
     firsts = prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first"))
     classes = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = classes.groupBy("root").agg(F.min(F.struct("first", "node")).alias("best"))

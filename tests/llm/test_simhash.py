@@ -130,3 +130,42 @@ def test_outlines_exclude_no_similar_pair(spark):
     similar = {(i, j) for i in sets for j in sets if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert similar <= kept
     assert len(kept) < 2 * len(similar)
+
+
+def word_sets(texts):
+    split = [[w for w in re.split(r"[ \t\n\x0b\x0c\r]+", x.lower()) if w] for x in texts]
+    return [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1 if w else 0))} for w in split]
+
+
+def check_near_copies(spark, texts):
+    """One document of each class by all pairs that overlap by 0.8 stays: the first."""
+    sets, label = word_sets(texts), list(range(len(texts)))
+    near = [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    while any(label[i] != label[j] for i, j in near):
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = sorted(r.doc_id for r in simhash.deduplicate(docs).collect())
+    assert got == sorted(set(label))
+    return len(near)
+
+
+def test_all_near_copies_are_found(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "COUNTED", 1)
+    monkeypatch.setattr(simhash, "BLOCK", 5)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(40)]
+    texts = ["", " \t", "one two", "ONE  two", "É a b c d e"]
+    for _ in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([6, 12, 40, 150]))]
+        words += passage if rng.random() < 0.5 else []
+        texts.append(" ".join(words))
+        for _ in range(3):  # word order and a few edits: fingerprints of most differ in many bits
+            copy = list(words)
+            for _ in range(max(1, int(len(words) * rng.choice([0.01, 0.02, 0.025, 0.03])))):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    sets = word_sets(texts)
+    prints = [simhash.fingerprint_of(x, 3) % (1 << 64) for x in texts]
+    far = sum(bin(prints[i] ^ prints[j]).count("1") > 12 for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert check_near_copies(spark, texts) > 60 and far > 0

@@ -151,8 +151,8 @@ def check_near_copies(spark, texts):
 
 
 def test_all_near_copies_are_found(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "COUNTED", 1)
-    monkeypatch.setattr(simhash, "BLOCK", 5)
+    monkeypatch.setattr(simhash, "COUNTED", 1, raising=False)
+    monkeypatch.setattr(simhash, "BLOCK", 5, raising=False)
     rng = random.Random(8)
     passage = [f"p{i}" for i in range(40)]
     texts = ["", " \t", "one two", "ONE  two", "É a b c d e"]
@@ -169,3 +169,14 @@ def test_all_near_copies_are_found(spark, monkeypatch):
     prints = [simhash.fingerprint_of(x, 3) % (1 << 64) for x in texts]
     far = sum(bin(prints[i] ^ prints[j]).count("1") > 12 for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
     assert check_near_copies(spark, texts) > 60 and far > 0
+
+
+def test_texts_of_one_fingerprint_are_all_compared(spark, monkeypatch):
+    """Near copies whose fingerprint's smallest text, or nearest neighbours, aren't similar."""
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, size=5: F.lit(7).cast("long"))
+    rng = random.Random(9)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        texts += [" ".join(words), " ".join([*words[:-1], "end"])]
+    assert check_near_copies(spark, texts) == 12

@@ -3,8 +3,9 @@
 A worklist starts with the text itself. Each layer is scanned, then its percent-encoded
 runs, Unicode escapes, base64 and hex runs are unwrapped (bytes that open a gzip, zlib,
 bzip2 or xz stream are decompressed) and each result joins the worklist as a layer of its
-own, until no layer yields a new one. A layer whose text was seen before in the same
-document is not scanned again, which ends cycles. Every layer keeps, for each of its
+own, until no layer yields a new one. A layer whose text was seen before from the same places
+of the document is not scanned again, which ends cycles: what is inflated has one place for
+all its characters. Every layer keeps, for each of its
 characters, the range of the original text that it came from, so spans found in any layer
 are spans of the original, in code points, end exclusive.
 
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +59,10 @@ class Layer:
     starts: np.ndarray
     ends: np.ndarray
 
+    def key(self) -> tuple:
+        """What tells the layer from others: the same text from elsewhere is another one."""
+        return self.text, xxhash.xxh3_128_digest(self.starts.tobytes()), xxhash.xxh3_128_digest(self.ends.tobytes())
+
 
 def scan(text: str) -> list[tuple[str, int, int]]:
     """The base matches of one text: kind, start, end."""
@@ -189,7 +195,8 @@ def find_secrets(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     if not (BASE64.search(text) or "%" in text or "\\" in text or "&#" in text):
         return base, base
     place = np.arange(len(text))
-    work, seen = [Layer(text, place, place + 1)], {text}
+    whole = Layer(text, place, place + 1)
+    work, seen = [whole], {whole.key()}
     while work:
         layer = work.pop()
         for pattern, unwrap, mark in UNWRAP:
@@ -197,9 +204,9 @@ def find_secrets(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str,
                 continue
             for m in pattern.finditer(layer.text):
                 inner = unwrap(layer, *m.span())
-                if inner is None or inner.text in seen:
+                if inner is None or (key := inner.key()) in seen:
                     continue
-                seen.add(inner.text)
+                seen.add(key)
                 work.append(inner)
                 for kind, start, end in scan(inner.text):
                     spans.add((kind, int(inner.starts[start:end].min()), int(inner.ends[start:end].max())))

@@ -68,3 +68,13 @@ def test_report_and_redaction(spark):
     texts = {r.doc_id: r.t for r in docs.select("doc_id", secrets.redact(docs.text).alias("t")).collect()}
     assert texts[1] == '[SECRET]"' and texts[2] is None and texts[3] == "" and texts[4] == "clean words"
     assert secrets.scan_report(docs.limit(0)).count() == 0
+
+
+def test_every_occurrence_of_an_encoded_secret():
+    b64, url = base64.b64encode(TOKEN.encode()).decode(), urllib.parse.quote(TOKEN)
+    packed = base64.b64encode(gzip.compress((b64 + "\n" + b64).encode())).decode()
+    for first, second in ((b64, b64), (url, url), (b64, url), (url, TOKEN.encode().hex()), (packed, packed)):
+        text = f"x {first}\ny {second} z"
+        spans = [s for s in secrets.find_secrets(text)[1] if s[0] == "assign"]
+        for at, run in ((2, first), (5 + len(first), second)):
+            assert any(at <= start < end <= at + len(run) for _, start, end in spans), (first, second)

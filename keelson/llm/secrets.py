@@ -1,28 +1,30 @@
 """Secret scans: patterns over a text and over whatever is encoded inside it.
 
-A worklist starts with the text itself. Each layer is scanned, then its percent-encoded
-runs, Unicode escapes, base64 and hex runs are unwrapped (bytes that open a gzip, zlib,
-bzip2 or xz stream are decompressed) and each result joins the worklist as a layer of its
-own, until no layer yields a new one. A layer whose text was seen before from the same places
-of the document is not scanned again, which ends cycles: what is inflated has one place for
-all its characters. Every layer keeps, for each of its
-characters, the range of the original text that it came from, so spans found in any layer
-are spans of the original, in code points, end exclusive.
-
-Defined results: null and empty texts have no spans; a compressed run that inflates beyond
-``MAX_INFLATED`` bytes is scanned up to there; equal rows give equal rows.
+A worklist starts with the text itself. Each layer is scanned. Its percent-encoded bytes
+and Unicode escapes are decoded in place, so that the whole layer with them decoded is a
+layer of its own; each base64 run (also one over several lines) and hex run gives a layer
+(of bytes that open a gzip, zlib, bzip2 or xz stream, what this stream and those after it
+hold), until no layer yields a new one. Bytes that aren't text count as U+FFFD. A layer
+whose text was seen before from the same places of the document is not scanned again, which
+ends cycles: what is inflated has one place for all its characters. Every layer keeps, for
+each of its characters, the range of the original text that it came from, so spans found in
+any layer are spans of the original, in code points, end exclusive.
+
+Defined results: null and empty texts have no spans; what inflates beyond ``WINDOW`` bytes
+is scanned in windows that overlap by ``OVERLAP`` or more, which begin between words where a
+run of up to ``WINDOW`` bytes would be cut; equal rows give equal rows.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +43,19 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_VALUE = 6
 
-PERCENT = re.compile(r"(?:[A-Za-z0-9._~+&=:/?#!*'();@$,\[\]-]|%[0-9A-Fa-f]{2})*%[0-9A-Fa-f]{2}(?:[A-Za-z0-9._~+&=:/?#!*'();@$,\[\]-]|%[0-9A-Fa-f]{2})*")
-ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};)")
-ESCAPED_RUN = re.compile(rf"[!-~]*?{ESCAPE.pattern}[!-~]*")
+PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
+ESCAPES = re.compile(rf"(?:{ESCAPE.pattern})+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over several lines; ends of lines may be escaped, as in a JSON string.
+LINE_END = r"[\x20\t]*+(?:\r?\n|(?:\\r)?\\n)[\x20\t]*+"
+BASE64_LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}+{LINE_END}(?:[A-Za-z0-9+/_-]{{16,}}+{LINE_END})*+[A-Za-z0-9+/_-]*={{0,2}}")
+BASE64_PART = re.compile(rf"{LINE_END}|[A-Za-z0-9+/_-]+")
 HEX_BYTES = re.compile(r"(?:[0-9a-fA-F]{2}){16,}")
 MAGIC = (b"\x1f\x8b", b"x\x01", b"x\x5e", b"x\x9c", b"x\xda", b"BZh", b"\xfd7zXZ\0")
-MAX_INFLATED = 16 << 20
-BREAKS = {9: None, 10: None, 13: None}
+PIECE, WINDOW, OVERLAP = 1 << 20, 16 << 20, 1 << 20
+#: Without it bytes hold neither a match (12 characters at least) nor a run to unwrap.
+PLAIN = re.compile(rb"[\t\n\r\x20-~]{12,}")
 
 
 @dataclass
@@ -61,7 +68,9 @@ class Layer:
 
     def key(self) -> tuple:
         """What tells the layer from others: the same text from elsewhere is another one."""
-        return self.text, xxhash.xxh3_128_digest(self.starts.tobytes()), xxhash.xxh3_128_digest(self.ends.tobytes())
+        place = [x[:1] if x.strides == (0,) else x for x in (self.starts, self.ends)]
+        parts = [self.text.encode("utf-8", "surrogatepass"), *[x.tobytes() for x in place]]
+        return tuple(xxhash.xxh3_128_digest(x) for x in parts)
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -76,115 +85,174 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _inflate(data: bytes) -> bytes | None:
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, MAX_INFLATED)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MAX_INFLATED)
-        if data[:6] == b"\xfd7zXZ\0":
-            return lzma.LZMADecompressor(memlimit=256 << 20).decompress(data, MAX_INFLATED)
-        return zlib.decompressobj().decompress(data, MAX_INFLATED)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
+def _engine(data: bytes):
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\0":
+        return lzma.LZMADecompressor(memlimit=256 << 20)
+    return zlib.decompressobj()
+
+
+def _inflate(pieces):
+    """What the stream and those after it hold, in pieces; what is no stream as it is."""
+    engine, data, raw, given = None, b"", False, False
+    for piece in pieces:
+        data = data + piece if data else piece
+        while data or engine is not None:
+            if raw or engine is None and not data.startswith(MAGIC):
+                raw = True
+                yield data
+                data = b""
+                break
+            if engine is None:
+                engine, given = _engine(data), False
+            taken = data
+            try:
+                out = engine.decompress(data, PIECE)
+            except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+                raw, engine = True, None
+                if given:
+                    return
+                continue
+            if out:
+                given = True
+                yield out
+            if engine.eof:
+                data = engine.unused_data.lstrip(b"\0")  # zeros fill up a last block
+                engine = None
+            elif hasattr(engine, "unconsumed_tail"):
+                data = engine.unconsumed_tail
+                if not data and len(out) < PIECE:
+                    break
+            else:
+                data = b""
+                if engine.needs_input or not out and not taken:
+                    break
+
+
+def _windows(data: bytes):
+    """(bytes, whether inflated): data, or what it holds if it is a stream, in windows."""
+    pieces, head, inflated = iter(()), data, False
+    while head.startswith(MAGIC):
+        inner = _inflate(chain([head], pieces))
+        first = next(inner, b"")
+        pieces = inner
+        if first == head or not first:
+            break
+        head, inflated = first, True
+    held, most = head, WINDOW
+    for piece in pieces:
+        held += piece
+        if len(held) >= most:
+            yield held, inflated
+            cut = max(held.rfind(b" ", 0, max(len(held) - OVERLAP, 0)), len(held) - WINDOW, 0)
+            held, most = held[cut:], len(held) - cut + WINDOW
+    yield held, inflated
+
+
+def _decode(data: bytes) -> tuple[str, np.ndarray, np.ndarray]:
+    """Text of bytes, and the first and last byte of each character."""
+    if data.isascii():
+        place = np.arange(len(data))
+        return data.decode(), place, place
+    text = data.decode("utf-8", "surrogateescape")
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    bad = (code >= 0xDC80) & (code <= 0xDCFF)
+    size = np.where(bad, 1, 1 + (code >= 0x80) + (code >= 0x800).astype(int) + (code >= 0x10000))
+    last = np.cumsum(size) - 1
+    text = np.where(bad, 0xFFFD, code).astype(np.uint32).tobytes().decode("utf-32-le")
+    return text, last - size + 1, last
+
+
+def _from_bytes(data: bytes, place):
+    """Layers from decoded bytes; place() gives the starts and ends of each byte's source."""
+    if not data.startswith(MAGIC) and not PLAIN.search(data):
+        return
+    for window, inflated in _windows(data):
+        if not PLAIN.search(window):
+            continue
+        text, first, last = _decode(window)
+        starts, ends = place()
+        if inflated:
+            yield Layer(text, np.broadcast_to(starts.min(), len(text)), np.broadcast_to(ends.max(), len(text)))
+        else:
+            yield Layer(text, starts[first], ends[last])
 
 
-def _readable(text: str) -> bool:
-    return text.translate(BREAKS).isprintable() and bool(text)
+def _in_place(layer: Layer, pattern, decode):
+    """The layer with all matches decoded: decode gives the text of a match and the first
+    and last character of each one's source in it."""
+    texts, starts, ends, done = [], [], [], 0
+    for m in pattern.finditer(layer.text):
+        at, to = m.span()
+        text, first, last = decode(m.group())
+        texts += [layer.text[done:at], text]
+        starts += [layer.starts[done:at], layer.starts[at + first]]
+        ends += [layer.ends[done:at], layer.ends[at + last]]
+        done = to
+    if texts:
+        joined = "".join([*texts, layer.text[done:]])
+        yield Layer(joined, np.concatenate([*starts, layer.starts[done:]]), np.concatenate([*ends, layer.ends[done:]]))
 
 
-def _opens(data: bytes) -> bool:
-    """Whether the bytes may be text or a compressed stream: a cheap test before the rest."""
-    if data.startswith(MAGIC):
-        return True
-    try:
-        return _readable(data.decode())
-    except UnicodeDecodeError:
-        return False
+def _percent_text(run: str) -> tuple[str, np.ndarray, np.ndarray]:
+    text, first, last = _decode(bytes.fromhex(run.replace("%", "")))
+    return text, first * 3, last * 3 + 2
 
 
-def _from_bytes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> Layer | None:
-    """A layer from decoded bytes; starts and ends are those of each byte's source."""
-    while data.startswith(MAGIC):
-        inner = _inflate(data)
-        if not inner:
-            break
-        data = inner
-        starts, ends = np.full(len(data), starts.min()), np.full(len(data), ends.max())
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    if not _readable(text):
-        return None
-    raw = np.frombuffer(data, np.uint8)
-    first = np.flatnonzero((raw & 0xC0) != 0x80)
-    last = np.append(first[1:], len(raw)) - 1
-    return Layer(text, starts[first], ends[last])
-
-
-def _percent(layer: Layer, at: int, to: int) -> Layer | None:
-    data, places, i = bytearray(), [], at
-    while i < to:
-        if layer.text[i] == "%":
-            data.append(int(layer.text[i + 1 : i + 3], 16))
-            places.append((i, i + 2))
-            i += 3
-        else:
-            data.append(ord(layer.text[i]))
-            places.append((i, i))
-            i += 1
-    place = np.array(places)
-    return _from_bytes(bytes(data), layer.starts[place[:, 0]], layer.ends[place[:, 1]])
-
-
-def _escapes(layer: Layer, at: int, to: int) -> Layer | None:
-    out, starts, ends, done = [], [], [], at
-    for m in ESCAPE.finditer(layer.text, at, to):
-        out += layer.text[done : m.start()]
-        starts += layer.starts[done : m.start()].tolist()
-        ends += layer.ends[done : m.start()].tolist()
+def _escape_text(run: str) -> tuple[str, np.ndarray, np.ndarray]:
+    out, first, last = [], [], []
+    for m in ESCAPE.finditer(run):
         digits = m.group().strip("&#;\\")
-        number = int(digits.lstrip("uUx"), 16) if digits[0] in "uUx" else int(digits)
-        if number > 0x10FFFF:
-            return None
-        out.append(chr(number))
-        starts.append(int(layer.starts[m.start()]))
-        ends.append(int(layer.ends[m.end() - 1]))
-        done = m.end()
-    out += layer.text[done:to]
-    starts += layer.starts[done:to].tolist()
-    ends += layer.ends[done:to].tolist()
-    text = "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-    if len(text) != len(out):  # surrogate pairs became one character: the run's whole range
-        return Layer(text, np.full(len(text), min(starts)), np.full(len(text), max(ends)))
-    return Layer(text, np.array(starts), np.array(ends))
-
-
-def _base64(layer: Layer, at: int, to: int) -> Layer | None:
-    run = layer.text[at:to].rstrip("=")
-    if len(run) % 4 == 1 or run.isdigit():
-        return None
-    try:
-        data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-    except (binascii.Error, ValueError):
-        return None
-    if not _opens(data):
-        return None
-    place = np.arange(len(data))
-    last = np.minimum((place * 4 + 3) // 3 + (place % 3 == 0), len(run) - 1)
-    return _from_bytes(data, layer.starts[at + place * 4 // 3], layer.ends[at + last])
-
-
-def _hex(layer: Layer, at: int, to: int) -> Layer | None:
+        number = int(digits[1:], 16) if digits[0] in "uUx" else int(digits)
+        if out and 0xD800 <= out[-1] < 0xDC00 <= number < 0xE000:  # a surrogate pair
+            out[-1] = 0x10000 + (out[-1] - 0xD800 << 10) + number - 0xDC00
+            last[-1] = m.end() - 1
+            continue
+        out.append(number)
+        first.append(m.start())
+        last.append(m.end() - 1)
+    text = "".join("\ufffd" if n > 0x10FFFF or 0xD800 <= n < 0xE000 else chr(n) for n in out)
+    return text, np.array(first), np.array(last)
+
+
+def _base64(layer: Layer, kept: np.ndarray, run: str):
+    """Layers of a run of base64 characters, which stand at ``kept`` in the layer."""
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    if run.isdigit():
+        return
+    data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
+
+    def place():
+        at = np.arange(len(data))
+        last = np.minimum((at * 4 + 3) // 3 + (at % 3 == 0), len(run) - 1)
+        return layer.starts[kept[at * 4 // 3]], layer.ends[kept[last]]
+
+    yield from _from_bytes(data, place)
+
+
+def _hex(layer: Layer, at: int, to: int):
     data = bytes.fromhex(layer.text[at : to - (to - at) % 2])
-    if not _opens(data):
-        return None
-    place = np.arange(len(data))
-    return _from_bytes(data, layer.starts[at + 2 * place], layer.ends[at + 2 * place + 1])
-
-
-UNWRAP = ((PERCENT, _percent, "%"), (ESCAPED_RUN, _escapes, "\\"), (ESCAPED_RUN, _escapes, "&#"), (BASE64, _base64, ""), (HEX_BYTES, _hex, ""))
+    yield from _from_bytes(data, lambda: (layer.starts[at:to][: 2 * len(data) : 2], layer.ends[at:to][1 : 2 * len(data) : 2]))
+
+
+def _inner_layers(layer: Layer):
+    text = layer.text
+    if "%" in text:
+        yield from _in_place(layer, PERCENT, _percent_text)
+    if "\\" in text or "&#" in text:
+        yield from _in_place(layer, ESCAPES, _escape_text)
+    for m in BASE64.finditer(text):
+        run = m.group().rstrip("=")
+        yield from _base64(layer, np.arange(m.start(), m.start() + len(run)), run)
+    for m in BASE64_LINES.finditer(text):
+        parts = [p for p in BASE64_PART.finditer(text, *m.span()) if p.group()[0] not in " \t\r\n\\"]
+        kept = np.concatenate([np.arange(*p.span()) for p in parts])
+        yield from _base64(layer, kept, "".join(p.group() for p in parts))
+    for m in HEX_BYTES.finditer(text):
+        yield from _hex(layer, *m.span())
 
 
 def find_secrets(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -196,20 +264,16 @@ def find_secrets(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str,
         return base, base
     place = np.arange(len(text))
     whole = Layer(text, place, place + 1)
-    work, seen = [whole], {whole.key()}
+    work, seen = [_inner_layers(whole)], {whole.key()}
     while work:
-        layer = work.pop()
-        for pattern, unwrap, mark in UNWRAP:
-            if mark and mark not in layer.text:
-                continue
-            for m in pattern.finditer(layer.text):
-                inner = unwrap(layer, *m.span())
-                if inner is None or (key := inner.key()) in seen:
-                    continue
-                seen.add(key)
-                work.append(inner)
-                for kind, start, end in scan(inner.text):
-                    spans.add((kind, int(inner.starts[start:end].min()), int(inner.ends[start:end].max())))
+        inner = next(work[-1], None)
+        if inner is None:
+            work.pop()
+        elif (key := inner.key()) not in seen:
+            seen.add(key)
+            for kind, start, end in scan(inner.text):
+                spans.add((kind, int(inner.starts[start:end].min()), int(inner.ends[start:end].max())))
+            work.append(_inner_layers(inner))
     return base, sorted(spans, key=order)
 
 

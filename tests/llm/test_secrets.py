@@ -78,3 +78,51 @@ def test_every_occurrence_of_an_encoded_secret():
         spans = [s for s in secrets.find_secrets(text)[1] if s[0] == "assign"]
         for at, run in ((2, first), (5 + len(first), second)):
             assert any(at <= start < end <= at + len(run) for _, start, end in spans), (first, second)
+
+
+def assigned(text):
+    return [text[s[1] : s[2]] for s in secrets.find_secrets(text)[1] if s[0] == "assign"]
+
+
+def test_layers_keep_what_surrounds_a_run():
+    assert "pass%77ord = hunter22abc" in assigned("é pass%77ord = hunter22abc x")
+    assert '\\u0070assword": "hunter22abc' in assigned('{"\\u0070assword": "hunter22abc"}')
+    assert "&#116;oken: hunter22abc" in assigned("a &#116;oken: hunter22abc &#9999999; \\ud83d\\ude00")
+    assert "token%3Dabcdefgh12" in assigned("x?q=%FF&token%3Dabcdefgh12")
+
+
+def test_layers_of_bytes_that_are_not_all_text():
+    for odd in ("\xa0", "\xad", "​", "　", "\f", "😀".encode("utf-16", "surrogatepass").decode("utf-16")):
+        for data in ((odd + TOKEN + odd).encode(), b"\xff\xfe" + TOKEN.encode() + b"\x80", gzip.compress((odd + TOKEN).encode())):
+            text = "a " + base64.b64encode(data).decode() + " b"
+            assert assigned(text), (odd, data)
+            assert assigned("a " + data.hex() + " b"), (odd, data)
+
+
+def test_wrapped_base64_and_further_members():
+    import bz2
+    import lzma
+    import zlib
+
+    inner = "x" * 50 + " " + TOKEN + " " + "y" * 150
+    run = base64.b64encode(inner.encode()).decode()
+    for end in ("\n", "\r\n", "\n  ", "\\n"):
+        text = "é " + end.join(run[i : i + 76] for i in range(0, len(run), 76)) + " after"
+        assert any(secrets.find_secrets(text)[1][0][1] <= s[1] and s[2] - s[1] >= 64 for s in secrets.find_secrets(text)[1] if s[0] == "assign"), end
+        assert any(s[0] == "hex" and (s[2] - s[1]) >= 53 for s in secrets.find_secrets(text)[1])
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zlib.compress):
+        data = pack(b"first") + pack(b"second") + pack(TOKEN.encode())
+        assert assigned("a " + base64.b64encode(data).decode()), pack
+        assert assigned("a " + base64.b64encode(pack(pack(TOKEN.encode()))).decode()), pack
+
+
+def test_large_streams_are_scanned_to_the_end(monkeypatch):
+    monkeypatch.setattr(secrets, "WINDOW", 1 << 16, raising=False)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 12, raising=False)
+    monkeypatch.setattr(secrets, "PIECE", 1 << 12, raising=False)
+    monkeypatch.setattr(secrets, "MAX_INFLATED", 1 << 16, raising=False)
+    nested = base64.b64encode(b"z" * 30000 + TOKEN.encode()).decode()
+    for size in (0, 100, 65536 - 20, 131072 - 20, 300000, 1000001):
+        for tail in (TOKEN, nested):
+            text = "a " + base64.b64encode(gzip.compress(("word " * size)[:size].encode() + b" " + tail.encode())).decode() + " b"
+            assert assigned(text), (size, tail[:10])

@@ -17,20 +17,19 @@ columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.bktree import Forest, components
-from keelson.llm.common import cut_lineage, worker_model
+from keelson.llm.common import WordBatch, cut_lineage, slices, worker_model
 from keelson.llm.graph import connected_components
 from keelson.llm.lblm import frequent_words
-from keelson.llm.sketch import shingle_hashes, words_of
 
 SEED = 42
 MAX_SHARD = 4096
@@ -46,6 +45,9 @@ BLOCK = 1024
 MAX_SENT = 200_000
 #: Bits of an outline: which of so many classes of hashes a text's shingles fall in.
 OUTLINE = 1024
+#: Odd numbers that mix the hashes of a shingle's words by their place.
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+NONE_COMMON = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def fingerprint_of(text: str, size: int) -> int:
@@ -67,68 +69,111 @@ def fingerprint_of(text: str, size: int) -> int:
     return int(np.packbits(bits * 2 > len(packed), bitorder="little").view(np.int64)[0])
 
 
-def shingles_of(text: str, size: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles, uint64."""
-    words = text.lower().encode().split()
-    spans = max(len(words) - size + 1, 1 if words else 0)
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), SEED) for i in range(spans)], np.uint64))
-
-
-def outline_of(hashes: np.ndarray) -> list[int]:
-    """OUTLINE bits, in 64-bit words, of which those are set that some hash names."""
-    bits = np.zeros(OUTLINE, bool)
-    bits[(hashes % np.uint64(OUTLINE)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").view(np.int64).tolist()
-
+def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes (uint64) of the shingles of ``size`` words of each of a batch's texts,
+    in lower case, and the number of the text that each belongs to; sorted by text and hash.
 
-def prefix_of(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first hashes in an order that all texts share: common ones last, by how common.
+    Each distinct word is hashed once, and a shingle's words are mixed in numpy over the whole
+    run of words. Where a text has fewer words than a shingle, nothing stands for those that
+    lack.
+    """
+    words = WordBatch(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), lower=False)
+    named = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words.vocabulary.to_pylist()], np.uint64)
+    run = np.concatenate([named[words.codes], np.zeros(size - 1, np.uint64)])
+    counts, bounds = words.counts, words.bounds
+    with np.errstate(over="ignore"):
+        mixed = sum(run[k : len(run) - size + 1 + k] * FACTORS[k % len(FACTORS)] for k in range(size))
+        for i in np.flatnonzero((counts > 0) & (counts < size)):
+            at = bounds[i]
+            mixed[at] = sum(run[at + k] * FACTORS[k % len(FACTORS)] for k in range(counts[i]))
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * FACTORS[1]
+    mixed ^= mixed >> np.uint64(29)
+    spans = np.where(counts > 0, np.maximum(counts - size + 1, 1), 0)
+    own = [mixed[a : a + n] for a, n in zip(bounds[:-1].tolist(), spans.tolist())]
+    for values in own:  # of one text
+        values.sort()
+    value, owner = np.concatenate([*own, NONE_COMMON[0]]), np.repeat(np.arange(len(counts)), spans)
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+    return value[new], owner[new]
+
+
+def as_lists(value: np.ndarray, owner: np.ndarray, count: int) -> pa.ListArray:
+    """The values of each of ``count`` owners as one list of signed numbers."""
+    ends = np.searchsorted(owner, np.arange(count + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(value.view(np.int64)))
+
+
+def outlines_of(value: np.ndarray, owner: np.ndarray, count: int) -> pa.ListArray:
+    """OUTLINE bits for each text, in 64-bit words, of which those are set that some hash names."""
+    bits = np.zeros((count, OUTLINE), bool)
+    bits[owner, (value % np.uint64(OUTLINE)).astype(np.int64)] = True
+    packed = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    return as_lists(packed.ravel(), np.repeat(np.arange(count), packed.shape[1]), count)
+
+
+def prefixes_of(value: np.ndarray, owner: np.ndarray, count: int, common: tuple[np.ndarray, np.ndarray]) -> pa.ListArray:
+    """Each text's first hashes in an order that all share: common ones last, by how common.
 
     There are so many that two texts that overlap by SIMILARITY have one of theirs in common:
     of n at least SIMILARITY * n are shared, so no more than the rest can come before it.
     A text without shingles has one of its own kind, as such texts are alike.
     """
-    if not len(hashes):
-        return np.zeros(1, np.uint64)
-    known, count = common
+    size = np.bincount(owner, minlength=count)
+    bare = np.flatnonzero(size == 0)
+    value, owner = np.concatenate([value, np.zeros(len(bare), np.uint64)]), np.concatenate([owner, bare])
+    order = np.argsort(owner, kind="stable")
+    value, owner = value[order], owner[order]
+    known, held = common
     if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        hashes = hashes[np.lexsort((hashes, np.where(known[at] == hashes, count[at], 0)))]
-    return hashes[: len(hashes) - math.ceil(SIMILARITY * len(hashes) - 1e-6) + 1]
-
-
-NONE_COMMON = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        at = np.minimum(np.searchsorted(known, value), len(known) - 1)
+        often = np.where(known[at] == value, held[at], 0)
+        starts = np.searchsorted(owner, np.arange(count + 1))
+        for i in np.unique(owner[often > 0]):
+            own = slice(starts[i], starts[i + 1])
+            value[own] = value[own][np.argsort(often[own], kind="stable")]
+    place = np.arange(len(owner)) - np.searchsorted(owner, np.arange(count))[owner]
+    first = place < (size - np.ceil(SIMILARITY * size - 1e-6).astype(np.int64) + 1)[owner]
+    return as_lists(value[first], owner[first], count)
 
 
 def outline(text: Column, size: int = SHINGLE, common=None) -> Column:
     """struct<size: bigint, bits: array<bigint>, prefix: array<bigint>>: the number of distinct
-    shingles of a text; see outline_of and prefix_of. Null counts as empty. ``common`` is a
+    shingles of a text; see outlines_of and prefixes_of. Null counts as empty. ``common`` is a
     broadcast of the hashes and counts of common shingles."""
 
     @F.arrow_udf("struct<size:bigint,bits:array<bigint>,prefix:array<bigint>>")
     def draw(texts: pa.Array) -> pa.Array:
         worker_model("simhash")
         order = NONE_COMMON if common is None else common.value
-        sets = [shingles_of(x.as_py() or "", size) for x in texts]
-        drawn = [[len(x) for x in sets], [outline_of(x) for x in sets], [prefix_of(x, order).view(np.int64) for x in sets]]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        return pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip(drawn, kinds)], ["size", "bits", "prefix"])
+        parts = []
+        for _, part in slices(texts):
+            value, owner = shingle_sets(part, size)
+            count = len(part)
+            drawn = [pa.array(np.bincount(owner, minlength=count)), outlines_of(value, owner, count), prefixes_of(value, owner, count, order)]
+            parts.append(pa.StructArray.from_arrays(drawn, ["size", "bits", "prefix"]))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("size", pa.int64()), ("bits", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))]))
 
     return draw(text)
 
 
-def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that many texts (node, text) hold, and in how many of those
-    counted. It decides how fast pairs are found, not which."""
+def sets_of(texts: DataFrame) -> DataFrame:
+    """node, s (array<bigint>: the distinct hashes of shingles) for texts (node, text)."""
 
-    def count(batches):
+    def gather(batches):
         for batch in batches:
-            sets = [shingles_of(x.as_py(), SHINGLE) for x in batch.column(1)]
-            node = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, NONE_COMMON[0]]).view(np.int64)), pa.array(node)], ["word", "node"])
+            for at, part in slices(batch.column(1)):
+                value, owner = shingle_sets(part, SHINGLE)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), as_lists(value, owner, len(part))], ["node", "s"])
+
+    return texts.select("node", "text").mapInArrow(gather, "node long, s array<long>")
 
-    drawn = texts.where(F.pmod(F.xxhash64(F.lit(29), "node"), F.lit(COUNTED)) == 0).select("node", "text")
-    held = drawn.mapInArrow(count, "word long, node long").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that many texts (node, text) hold, and in how many of those
+    counted. It decides how fast pairs are found, not which."""
+    drawn = texts.where(F.pmod(F.xxhash64(F.lit(29), "node"), F.lit(COUNTED)) == 0)
+    held = sets_of(drawn).select("node", F.explode("s").alias("word")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("c"))
     rows = frequent_words(cut_lineage(held.where(F.col("c") >= COMMON)), MOST_COMMON)[:MOST_COMMON]
     known, counts = np.array([r.word for r in rows], np.int64).view(np.uint64), np.array([r.c for r in rows], np.int64)
     order = np.argsort(known)
@@ -243,8 +288,7 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     if named.count() <= MAX_SENT:  # 8 bytes each: texts needn't be shuffled to find the few
         named = F.broadcast(named)
     once = texts.join(named, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    hashed = once.withColumn("words", words_of(F.col("text")))
-    sets = hashed.select("node", F.array_distinct(shingle_hashes(F.col("words"), SHINGLE)).alias("s"))
+    sets = sets_of(once)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -301,8 +345,8 @@ def _pairs_left(shared: DataFrame, roots: DataFrame) -> DataFrame:
 def near_links(texts: DataFrame, prints: DataFrame) -> DataFrame:
     """Links (a, b) between similar distinct texts, which join all that all similar pairs join.
 
-    First each text is compared with those that SimHash shards name (FIRST_RADIUS), with the
-    smallest text that shares a prefix shingle, and with one picked by a hash. Of all other
+    First each text is compared with those that SimHash shards name (FIRST_RADIUS) and with
+    the texts of lowest and highest node that share a prefix shingle. Of all other
     pairs that share a prefix shingle those within one class by then add nothing; the rest
     are compared too, so nothing is missed and a group of thousands isn't compared pair by
     pair. ``prints`` has node, fingerprint, outline.
@@ -316,13 +360,13 @@ def near_links(texts: DataFrame, prints: DataFrame) -> DataFrame:
     across = near.join(end("a", "x"), "a").join(end("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     tokens = items.select("node", "size", F.posexplode("prefix").alias("at", "token"))
     tokens = tokens.select("node", "token", F.col("size").cast("int").alias("size"), (F.col("size") - F.col("at")).cast("int").alias("left"))
-    least = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.min(F.struct(F.xxhash64("node", "token").alias("h"), "node")).alias("other"))
-    least = least.where("n > 1").select("token", "first", F.col("other.node").alias("other"))
+    least = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.max("node").alias("last"))
+    least = least.where("n > 1").select("token", "first", "last")
     shared = cut_lineage(tokens.join(least, "token"))
-    stars = [shared.select(F.col("node").alias("a"), F.col(c).alias("b")) for c in ("first", "other")]
+    stars = [shared.select(F.col("node").alias("a"), F.col(c).alias("b")) for c in ("first", "last")]
     links = cut_lineage(_similar(cut_lineage(_possible(same.unionByName(across).unionByName(stars[0]).unionByName(stars[1]), items)), texts))
     roots = cut_lineage(connected_components(links, "a", "b"))
-    rest = _possible(_pairs_left(shared.drop("first", "other"), roots), items)
+    rest = _possible(_pairs_left(shared.drop("first", "last"), roots), items)
     return links.unionByName(_similar(cut_lineage(rest), texts))
 
 
@@ -336,7 +380,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     texts = docs.select(node.alias("node"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts))
-    prints = cut_lineage(texts.select("node", "doc_id", fingerprint(F.col("text"), 3).alias("fingerprint"), outline(F.col("text"), SHINGLE, common).alias("outline")))
+    prints = cut_lineage(texts.select("node", "doc_id", fingerprint(F.col("text"), SHINGLE).alias("fingerprint"), outline(F.col("text"), SHINGLE, common).alias("outline")))
     roots = connected_components(near_links(texts.select("node", "text"), prints), "a", "b")
     firsts = prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first"))
     classes = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -349,7 +393,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     smallest id. Of rows that share text and that id any one stays."""
     own = F.coalesce(F.col(doc_id).cast("string"), F.lit("-"))
     node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    kept = near_copies(docs, doc_id, text).where("keep").select(F.col("node").alias("__key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("__own"))
+    kept = near_copies(docs, doc_id, text).where("keep").select(F.col("node").alias("key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("own"))
     # by text and id, not by text alone: copies of one text are dealt to many tasks
-    rows = docs.withColumns({"__key": node, "__own": own}).join(kept, ["__key", "__own"], "left_semi")
-    return rows.dropDuplicates(["__key", "__own"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(node.alias("key"), own.alias("own"), F.struct("*").alias("row")).join(kept, ["key", "own"], "left_semi")
+    return rows.dropDuplicates(["key", "own"]).select("row.*")

@@ -21,6 +21,7 @@ from heapq import heappop, heappush
 import numpy as np
 import pyarrow as pa
 import regex
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +32,10 @@ MAX_RANK_FILE = 64 << 20
 #: Chunks and pre-tokens that a worker remembers in each of two generations, about 200 bytes
 #: each: for a pass that does nothing else, and beside other work.
 CACHE_ENTRIES, SMALL_CACHE = 650_000, 120_000
-#: A level of the bitmap has words of 256 bits.
-BIT = [1 << i for i in range(1 << 12)]
 #: Unicode's White_Space, as \s means in the pattern.
 SPACE = "\t-\r \x85\xa0  -     　"
-#: Pre-tokens never cross from such a chunk to the next one.
+#: Pre-tokens of PATTERN never cross from such a chunk to the next one, and letters alone are
+#: one of them; with another pattern a text is not cut into chunks.
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
@@ -58,8 +58,12 @@ class Codec:
 
     def __init__(self, raw: bytes, pattern: str, entries: int = SMALL_CACHE):
         self.ranks = parse_ranks(raw)
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.split = self.pattern.findall
+        self.chunks = CHUNK.findall if pattern == PATTERN else None
+        # a level of the bitmap has words of 256 bits
         self.low = [0] * ((max(self.ranks.values(), default=0) >> 8) + 1)
+        self.bit = [1 << i for i in range(max(256, len(self.low)))]
         self.token_bytes = {rank: token for token, rank in self.ranks.items()}
         self.spelled = {str(rank): token for rank, token in self.token_bytes.items()}
         self.known = _Remembered(self._spell_chunk, entries)
@@ -70,7 +74,7 @@ class Codec:
         ``low[w]`` has a bit for each rank from 256*w on whose bucket is in use, ``top`` a
         bit for each word of ``low`` that isn't 0; all are 0 again at the end.
         """
-        ranks, low, size = self.ranks, self.low, len(piece)
+        ranks, low, bit, size = self.ranks, self.low, self.bit, len(piece)
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
@@ -84,8 +88,8 @@ class Codec:
                     buckets[rank].append(i)
                 else:
                     buckets[rank] = [i]
-                    low[rank >> 8] |= BIT[rank & 255]
-                    top |= BIT[rank >> 8]
+                    low[rank >> 8] |= bit[rank & 255]
+                    top |= bit[rank >> 8]
         while top:
             word = (top & -top).bit_length() - 1
             bits = low[word]
@@ -110,8 +114,8 @@ class Codec:
                             heappush(buckets[new], i)
                         else:
                             buckets[new] = [i]
-                            low[new >> 8] |= BIT[new & 255]
-                            top |= BIT[new >> 8]
+                            low[new >> 8] |= bit[new & 255]
+                            top |= bit[new >> 8]
                 if before >= 0:
                     new = ranks.get(piece[before:after])
                     if new is None:
@@ -124,15 +128,15 @@ class Codec:
                             heappush(buckets[new], before)
                         else:
                             buckets[new] = [before]
-                            low[new >> 8] |= BIT[new & 255]
-                            top |= BIT[new >> 8]
+                            low[new >> 8] |= bit[new & 255]
+                            top |= bit[new >> 8]
                 if lowest < rank:  # a merge can open a lower rank
                     break
             if not bucket:
                 del buckets[rank]
-                low[word] ^= BIT[rank & 255]
+                low[word] ^= bit[rank & 255]
                 if not low[word]:
-                    top ^= BIT[word]
+                    top ^= bit[word]
         ids, i = [], 0
         while i < size:
             ids.append(ranks[piece[i : following[i]]])
@@ -141,7 +145,10 @@ class Codec:
 
     def _spell_chunk(self, chunk: str) -> str:
         """Ids of a chunk: a space at most, then no white space; or white space only. One of
-        letters alone is one pre-token, which saves the pattern's work."""
+        letters alone is one pre-token, which saves the pattern's work. Where there are no
+        chunks, of one pre-token."""
+        if self.chunks is None:
+            return " ".join(map(str, self.merge(chunk.encode())))
         body = chunk[1:] if chunk[0] == " " else chunk
         parts = [chunk] if body.isalpha() else self.split(chunk)
         if len(parts) > 1:
@@ -150,7 +157,10 @@ class Codec:
 
     def spell(self, text: str) -> str:
         """The ids of a text in decimal, joined by one space."""
-        return " ".join(map(self.known.__getitem__, CHUNK.findall(text)))
+        if self.chunks is None:
+            pieces = (m.group() for m in self.pattern.finditer(text) if m.group())
+            return " ".join(map(self.known.__getitem__, pieces))
+        return " ".join(map(self.known.__getitem__, self.chunks(text)))
 
     def encode(self, text: str) -> list[int]:
         spelled = self.spell(text)

@@ -68,3 +68,21 @@ def test_oversized_rank_file(tmp_path, monkeypatch):
     (tmp_path / "r").write_bytes(b"x" * 11)
     with pytest.raises(ValueError):
         bpe.load_ranks(str(tmp_path / "r"))
+
+
+def test_other_patterns_have_no_shortcuts():
+    path = PATHS[0]
+    ranks = bpe.parse_ranks(bpe.load_ranks(path))
+    rng = random.Random(4)
+    for pattern in (r"\p{Lu}?\p{Ll}+|\s+|.", r"\w+|[^\w]", r"(?s:.{1,7})"):
+        codec, other = bpe.Codec(bpe.load_ranks(path), pattern), tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for _ in range(300):
+            text = "".join(rng.choice(PARTS) for _ in range(rng.randrange(30)))
+            assert codec.encode(text) == other.encode_ordinary(text), (pattern, text)
+
+
+def test_tables_of_more_than_a_million_ranks():
+    import base64
+
+    raw = b"\n".join(base64.b64encode(x) + b" " + str(r).encode() for x, r in ((b"a", 1), (b"b", 2), (b"ab", 3_000_000), (b"aba", 2_999_999)))
+    assert bpe.Codec(raw, r"\w+").encode("abaab") == [2_999_999, 3_000_000]

@@ -53,6 +53,8 @@ BASE64_LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}+{LINE_EN
 BASE64_PART = re.compile(rf"{LINE_END}|[A-Za-z0-9+/_-]+")
 HEX_BYTES = re.compile(r"(?:[0-9a-fA-F]{2}){16,}")
 MAGIC = (b"\x1f\x8b", b"x\x01", b"x\x5e", b"x\x9c", b"x\xda", b"BZh", b"\xfd7zXZ\0")
+#: How a stream begins where something may stand before it.
+STREAM = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\0")
 PIECE, WINDOW, OVERLAP = 1 << 20, 16 << 20, 1 << 20
 #: Without it bytes hold neither a match (12 characters at least) nor a run to unwrap.
 PLAIN = re.compile(rb"[\t\n\r\x20-~]{12,}")
@@ -219,10 +221,17 @@ def _escape_text(run: str) -> tuple[str, np.ndarray, np.ndarray]:
 
 
 def _base64(layer: Layer, kept: np.ndarray, run: str):
-    """Layers of a run of base64 characters, which stand at ``kept`` in the layer."""
-    run = run[: len(run) - (len(run) % 4 == 1)]
+    """Layers of a run of base64 characters, which stand at ``kept`` in the layer. What was
+    encoded may begin at any of them, so all four ways to cut the run in fours are decoded,
+    and a stream that begins inside is inflated too."""
     if run.isdigit():
         return
+    for shift in range(min(4, len(run) - 15)):
+        yield from _base64_from(layer, kept[shift:], run[shift:])
+
+
+def _base64_from(layer: Layer, kept: np.ndarray, run: str):
+    run = run[: len(run) - (len(run) % 4 == 1)]
     data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
 
     def place():
@@ -231,6 +240,9 @@ def _base64(layer: Layer, kept: np.ndarray, run: str):
         return layer.starts[kept[at * 4 // 3]], layer.ends[kept[last]]
 
     yield from _from_bytes(data, place)
+    for m in STREAM.finditer(data):
+        if m.start():
+            yield from _from_bytes(data[m.start() :], lambda m=m: tuple(x[m.start() :] for x in place()))
 
 
 def _hex(layer: Layer, at: int, to: int):

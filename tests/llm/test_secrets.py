@@ -126,3 +126,35 @@ def test_large_streams_are_scanned_to_the_end(monkeypatch):
         for tail in (TOKEN, nested):
             text = "a " + base64.b64encode(gzip.compress(("word " * size)[:size].encode() + b" " + tail.encode())).decode() + " b"
             assert assigned(text), (size, tail[:10])
+
+
+def test_base64_after_other_characters_of_its_alphabet():
+    run, packed = (base64.b64encode(x).decode() for x in (TOKEN.encode(), gzip.compress(TOKEN.encode())))
+    for before in ("/", "key/", "a-", "ab", "word_", "x" * 21 + "+"):
+        for inner in (run, packed, base64.b64encode(run.encode()).decode()):
+            text = f"é {before}{inner} z"
+            found = secrets.find_secrets(text)[1]
+            assert any(k == "assign" and len(before) <= a < b <= 2 + len(before + inner) for k, a, b in found), (before, inner)
+
+
+def test_decoded_spans_by_brute_force():
+    """Every wrapped copy among others is found, and only at its own place."""
+    rng = random.Random(3)
+    value = 'password = "hunter22abc"'
+    wraps = [
+        lambda x: base64.b64encode(x.encode()).decode(), lambda x: x.encode().hex(), lambda x: "".join(f"%{b:02X}" for b in x.encode()),
+        lambda x: "".join(f"\\u{ord(c):04x}" for c in x), lambda x: base64.b64encode(gzip.compress(x.encode(), mtime=0)).decode(),
+    ]
+    for _ in range(40):
+        text, places = "", []
+        for _ in range(rng.randrange(1, 5)):
+            wrapped = value
+            for _ in range(rng.randrange(3)):
+                wrapped = rng.choice(wraps)(wrapped)
+            text += "".join(rng.choice("uvw é,\n") for _ in range(rng.randrange(9))) + "; "
+            places.append((len(text), len(text) + len(wrapped)))
+            text += wrapped + " ."
+        found = {(a, b) for k, a, b in secrets.find_secrets(text)[1] if k == "assign"}
+        for start, end in places:
+            assert any(start <= a < b <= end and b - a >= (end - start) * 0.8 for a, b in found), text
+        assert all(any(start <= a < b <= end for start, end in places) for a, b in found), text

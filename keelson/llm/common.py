@@ -41,6 +41,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_tasks(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """df in no more partitions than its number of rows asks for, so that a small table
+    doesn't go through a shuffle in hundreds of nearly empty files."""
+    return df.coalesce(rows // each + 1)
+
+
 _HELD: list = [None, None]
 
 

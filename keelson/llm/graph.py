@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import cut_lineage
+from keelson.llm.common import cut_lineage, in_tasks
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     """Links the neighbours of each node to the smallest of them and itself.
 
     The minimum is aggregated before it is joined back, so a node with a third of all
-    edges sends one row for each task, and the join can split its side.
+    edges sends one row for each task, and the join can split its side. ``rows`` is the
+    number of edges.
     """
     around = edges.select(F.col("u").alias("n"), F.col("v").alias("m"))
     if large:
@@ -24,7 +25,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         linked = joined.select(F.col("m").alias("u"), F.col("root").alias("v"))
         linked = linked.unionByName(least.select(F.col("n").alias("u"), F.col("root").alias("v")))
-    return linked.where("u <> v").distinct()
+    return in_tasks(in_tasks(linked.where("u <> v"), rows).distinct(), rows)
 
 
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -32,9 +33,9 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     smallest node reachable. Null ends and loops are no edges; no edges give no rows."""
     edges = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
     edges = cut_lineage(edges.where("u <> v").distinct())
-    before = None
+    before, rows = None, edges.count()
     while True:
-        edges = cut_lineage(_star(_star(edges, large=True), large=False))
+        edges = cut_lineage(_star(_star(in_tasks(edges, rows), True, rows), False, rows))
         state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

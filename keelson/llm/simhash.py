@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.bktree import Forest, components
-from keelson.llm.common import WordBatch, cut_lineage, slices, worker_model
+from keelson.llm.common import WordBatch, cut_lineage, in_tasks, slices, worker_model
 from keelson.llm.graph import connected_components
 from keelson.llm.lblm import frequent_words
 
@@ -284,8 +284,12 @@ def near_components(docs: DataFrame, radius: int = 2, size: int = 5, doc_id: str
 
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of texts (node, text) whose shingle sets overlap by SIMILARITY."""
+    pairs = cut_lineage(pairs)
+    pairs = in_tasks(pairs, pairs.count())
     named = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    if named.count() <= MAX_SENT:  # 8 bytes each: texts needn't be shuffled to find the few
+    count = named.count()
+    named = in_tasks(named, count)
+    if count <= MAX_SENT:  # 8 bytes each: texts needn't be shuffled to find the few
         named = F.broadcast(named)
     once = texts.join(named, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = sets_of(once)
@@ -352,7 +356,9 @@ def near_links(texts: DataFrame, prints: DataFrame) -> DataFrame:
     pair. ``prints`` has node, fingerprint, outline.
     """
     items = cut_lineage(prints.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("outline").alias("o")).select("node", "fingerprint", "o.*"))
-    found = shards(items.select("fingerprint").distinct(), shard_masks(FIRST_RADIUS), lambda free: shard_masks(FIRST_RADIUS, free))
+    values = cut_lineage(items.select("fingerprint").distinct())
+    values = in_tasks(values, values.count())
+    found = shards(values, shard_masks(FIRST_RADIUS), lambda free: shard_masks(FIRST_RADIUS, free))
     near = found.mapInArrow(_shard_roots(FIRST_RADIUS), "a long, b long").distinct()
     heads = items.groupBy("fingerprint").agg(F.min("node").alias("head"))
     same = items.join(heads, "fingerprint").select(F.col("node").alias("a"), F.col("head").alias("b"))
@@ -360,14 +366,25 @@ def near_links(texts: DataFrame, prints: DataFrame) -> DataFrame:
     across = near.join(end("a", "x"), "a").join(end("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     tokens = items.select("node", "size", F.posexplode("prefix").alias("at", "token"))
     tokens = tokens.select("node", "token", F.col("size").cast("int").alias("size"), (F.col("size") - F.col("at")).cast("int").alias("left"))
-    least = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.max("node").alias("last"))
-    least = least.where("n > 1").select("token", "first", "last")
-    shared = cut_lineage(tokens.join(least, "token"))
-    stars = [shared.select(F.col("node").alias("a"), F.col(c).alias("b")) for c in ("first", "last")]
-    links = cut_lineage(_similar(cut_lineage(_possible(same.unionByName(across).unionByName(stars[0]).unionByName(stars[1]), items)), texts))
+    packed = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("left").cast("long"))
+    ends = [f("node").alias(n) for f, n in ((F.min, "first"), (F.max, "last"))] + [f(packed, "node").alias(f"{n}_size") for f, n in ((F.min_by, "first"), (F.max_by, "last"))]
+    least = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), *ends).where("n > 1")
+    shared = cut_lineage(tokens.join(least.drop("n"), "token"))
+    stars = [
+        shared.where(_may_reach(F.col("size"), F.shiftright(f"{c}_size", 32), F.col("left"), F.col(f"{c}_size").bitwiseAND(0xFFFFFFFF)))
+        .select(F.col("node").alias("a"), F.col(c).alias("b"))
+        for c in ("first", "last")
+    ]
+    links = cut_lineage(_similar(_possible(same.unionByName(across).unionByName(stars[0]).unionByName(stars[1]), items), texts))
     roots = cut_lineage(connected_components(links, "a", "b"))
-    rest = _possible(_pairs_left(shared.drop("first", "last"), roots), items)
-    return links.unionByName(_similar(cut_lineage(rest), texts))
+    rest = _possible(_pairs_left(shared.select("node", "token", "size", "left"), roots), items)
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar(rest, texts))
+
+
+def _may_reach(size_x: Column, size_y: Column, left_x: Column, left_y: Column) -> Column:
+    """Whether two texts can overlap by SIMILARITY if the shingle from which on they have so
+    many left is the first that they share."""
+    return F.least(left_x, left_y) * (1 + SIMILARITY) >= SIMILARITY * (size_x + size_y) - 1e-6
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

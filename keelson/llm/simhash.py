@@ -45,6 +45,8 @@ BLOCK = 1024
 MAX_SENT = 200_000
 #: Bits of an outline: which of so many classes of hashes a text's shingles fall in.
 OUTLINE = 1024
+#: Bytes of text whose shingles are held at once.
+SLICE = 2 << 20
 #: Odd numbers that mix the hashes of a shingle's words by their place.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 NONE_COMMON = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -147,7 +149,7 @@ def outline(text: Column, size: int = SHINGLE, common=None) -> Column:
         worker_model("simhash")
         order = NONE_COMMON if common is None else common.value
         parts = []
-        for _, part in slices(texts):
+        for _, part in slices(texts, SLICE):
             value, owner = shingle_sets(part, size)
             count = len(part)
             drawn = [pa.array(np.bincount(owner, minlength=count)), outlines_of(value, owner, count), prefixes_of(value, owner, count, order)]
@@ -162,7 +164,7 @@ def sets_of(texts: DataFrame) -> DataFrame:
 
     def gather(batches):
         for batch in batches:
-            for at, part in slices(batch.column(1)):
+            for at, part in slices(batch.column(1), SLICE):
                 value, owner = shingle_sets(part, SHINGLE)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), as_lists(value, owner, len(part))], ["node", "s"])
 
@@ -336,10 +338,11 @@ def _pairs_left(shared: DataFrame, roots: DataFrame) -> DataFrame:
     one whose texts are all in one class by now adds nothing and is left out.
     """
     named = shared.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    named = cut_lineage(named)
-    kinds = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
-    mixed = kinds.where("low <> high").select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = named.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64(F.lit(31), "node"), F.col("blocks")).cast("int"))
+    kinds = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    held = cut_lineage(named.join(kinds.where("low <> high").select("token"), "token").distinct())
+    held = in_tasks(held, held.count())
+    sizes = held.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = held.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64(F.lit(31), "node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.struct("node", "label", "size", "left", "block").alias("m"))
     lists = dealt.groupBy("token", "low", "high").agg(F.collect_list("m").alias("members")).where(F.size("members") > 1)
@@ -353,9 +356,10 @@ def near_links(texts: DataFrame, prints: DataFrame) -> DataFrame:
     the texts of lowest and highest node that share a prefix shingle. Of all other
     pairs that share a prefix shingle those within one class by then add nothing; the rest
     are compared too, so nothing is missed and a group of thousands isn't compared pair by
-    pair. ``prints`` has node, fingerprint, outline.
+    pair. ``prints`` has node, fingerprint, size, bits, prefix, for each document.
     """
-    items = cut_lineage(prints.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("outline").alias("o")).select("node", "fingerprint", "o.*"))
+    once = prints.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fingerprint", "size", "bits")])
+    items = cut_lineage(once)
     values = cut_lineage(items.select("fingerprint").distinct())
     values = in_tasks(values, values.count())
     found = shards(values, shard_masks(FIRST_RADIUS), lambda free: shard_masks(FIRST_RADIUS, free))
@@ -364,20 +368,22 @@ def near_links(texts: DataFrame, prints: DataFrame) -> DataFrame:
     same = items.join(heads, "fingerprint").select(F.col("node").alias("a"), F.col("head").alias("b"))
     end = lambda key, name: heads.select(F.col("fingerprint").alias(key), F.col("head").alias(name))
     across = near.join(end("a", "x"), "a").join(end("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    tokens = items.select("node", "size", F.posexplode("prefix").alias("at", "token"))
-    tokens = tokens.select("node", "token", F.col("size").cast("int").alias("size"), (F.col("size") - F.col("at")).cast("int").alias("left"))
-    packed = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("left").cast("long"))
-    ends = [f("node").alias(n) for f, n in ((F.min, "first"), (F.max, "last"))] + [f(packed, "node").alias(f"{n}_size") for f, n in ((F.min_by, "first"), (F.max_by, "last"))]
-    least = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), *ends).where("n > 1")
-    shared = cut_lineage(tokens.join(least.drop("n"), "token"))
+    tokens = prints.select("node", "size", F.posexplode("prefix").alias("at", "token"))
+    # size and number left in one number: most of these rows meet no other one
+    packed = F.shiftleft("size", 32).bitwiseOR(F.col("size") - F.col("at"))
+    tokens = tokens.select("token", "node", packed.alias("packed"))
+    met = tokens.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
+    shared = cut_lineage(tokens.join(met, "token"))
+    ends = shared.groupBy("token").agg(F.min_by("packed", "node").alias("first_packed"), F.max_by("packed", "node").alias("last_packed"))
+    starred = shared.join(ends, "token").where("node <> first or node <> last")
+    size, left = lambda x: F.shiftright(x, 32), lambda x: F.col(x).bitwiseAND(0xFFFFFFFF)
     stars = [
-        shared.where(_may_reach(F.col("size"), F.shiftright(f"{c}_size", 32), F.col("left"), F.col(f"{c}_size").bitwiseAND(0xFFFFFFFF)))
-        .select(F.col("node").alias("a"), F.col(c).alias("b"))
+        starred.where(_may_reach(size("packed"), size(f"{c}_packed"), left("packed"), left(f"{c}_packed"))).select(F.col("node").alias("a"), F.col(c).alias("b"))
         for c in ("first", "last")
-    ]
+    ]
     links = cut_lineage(_similar(_possible(same.unionByName(across).unionByName(stars[0]).unionByName(stars[1]), items), texts))
     roots = cut_lineage(connected_components(links, "a", "b"))
-    rest = _possible(_pairs_left(shared.select("node", "token", "size", "left"), roots), items)
+    rest = _possible(_pairs_left(shared.select("node", "token", size("packed").cast("int").alias("size"), left("packed").cast("int").alias("left")), roots), items)
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar(rest, texts))
 
 
@@ -397,7 +403,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     texts = docs.select(node.alias("node"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts))
-    prints = cut_lineage(texts.select("node", "doc_id", fingerprint(F.col("text"), SHINGLE).alias("fingerprint"), outline(F.col("text"), SHINGLE, common).alias("outline")))
+    prints = cut_lineage(texts.select("node", "doc_id", fingerprint(F.col("text"), SHINGLE).alias("fingerprint"), outline(F.col("text"), SHINGLE, common).alias("o")).select("node", "doc_id", "fingerprint", "o.*"))
     roots = connected_components(near_links(texts.select("node", "text"), prints), "a", "b")
     firsts = prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first"))
     classes = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -11,7 +11,8 @@ normalised. A word in a class has its share of the class's training tokens, one
 Counts of all training words are aggregated in Spark, over every training document. The
 ``BROADCAST_WORDS`` most frequent ones go to the tasks (a fixed bound); what a document has
 beyond them joins the count table by word, where no key is frequent any more. The vectors
-are fitted on a bounded sample: about ``SAMPLE`` training documents by a hash of the id.
+are fitted in the tasks, on every training document once, in ``ROUNDS`` parts; after each the
+parameters of all tasks are averaged.
 
 Defined results: null and empty texts are one end token; without training documents base
 scores are 0 and all units equally likely; equal rows give equal rows.
@@ -25,6 +26,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,7 @@ from keelson.llm.common import WordBatch, cut_lineage, slices
 
 WORDS, CLASSES = 1900, 128
 BROADCAST_WORDS = 200_000
-SAMPLE = 2000
-SIZE, BATCH, NOISE, EPOCHS, RATE = 32, 1024, 512, 3, 0.1
+SIZE, BATCH, NOISE, ROUNDS, RATE = 32, 512, 128, 4, 0.2
 END = 0
 
 
@@ -41,61 +42,102 @@ def class_of(word: str) -> int:
     return zlib.crc32(word.encode()[-3:]) % CLASSES
 
 
-def train_vectors(units: np.ndarray, bounds: np.ndarray, count: int, epochs: int = EPOCHS) -> dict[str, np.ndarray]:
-    """Unit vectors and biases by noise-contrastive estimation with Adagrad.
+class Trainer:
+    """Unit vectors and biases under noise-contrastive estimation with Adagrad.
 
-    ``units[bounds[i]:bounds[i+1]]`` are a text's units, its end included; before a text
-    lie two ends. Noise units are drawn from the sample's own frequencies and shared by a
-    batch, so a step is a few matrix products.
+    ``share`` is the noise: each unit's share of all training tokens. Noise units are drawn
+    anew for each batch and shared by it, so a step is a few matrix products. ``p`` holds the
+    parameters, ``past`` the sums of squared gradients, ``seen`` how often a unit took part.
     """
-    rng = np.random.default_rng(5)
-    share = (np.bincount(units, minlength=count) + 1.0) / (len(units) + count)
+
+    NAMES = ("context", "target", "bias")
+
+    def __init__(self, share: np.ndarray, seed: int, state: dict | None = None):
+        self.share, self.rng = share, np.random.default_rng(seed)
+        start = state or initial_state(share)
+        self.p = {k: v.copy() for k, v in start["p"].items()}
+        self.past = {k: v.copy() for k, v in start["past"].items()}
+        self.seen = np.zeros(len(share))
+        self.cumulative, self.log_noise = np.cumsum(share), np.log(share * NOISE).astype(np.float32)
+
+    def _descend(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
+        own, place = np.unique(rows, return_inverse=True)
+        width = gradient.shape[1]
+        flat = (place[:, None] * width + np.arange(width)).ravel()
+        total = np.bincount(flat, gradient.ravel(), len(own) * width).reshape(-1, width).astype(np.float32)
+        self.past[name][own] += total**2
+        self.p[name][own] -= RATE * total / np.sqrt(self.past[name][own])
+
+    def learn(self, units: np.ndarray, first: np.ndarray) -> None:
+        """One pass over a run of units; ``first`` is where each one's text begins. Before a
+        text lie two ends."""
+        age = np.arange(len(units)) - first
+        before = np.stack([np.where(age >= k, np.roll(units, k), END) for k in (1, 2)])
+        order = self.rng.permutation(len(units))
+        for at in range(0, len(order), BATCH):
+            self._step(units[order[at : at + BATCH]], *before[:, order[at : at + BATCH]])
+        for x in (units, before[0], before[1]):
+            self.seen += np.bincount(x, minlength=len(self.share))
+
+    def _step(self, word: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        p = self.p
+        noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), len(self.share) - 1)
+        c1, c2 = p["context"][one], p["context"][two]
+        predicted = c1 * p["position"][0] + c2 * p["position"][1]
+        odds = (predicted * p["target"][word]).sum(axis=1) + p["bias"][word, 0] - self.log_noise[word]
+        noise_odds = predicted @ p["target"][noise].T + (p["bias"][noise, 0] - self.log_noise[noise])
+        # derivative of the loss by each score
+        scale = np.float32(1 / BATCH)
+        real = -scale / (1 + np.exp(np.clip(odds, -30, 30)))
+        fake = scale / (1 + np.exp(-np.clip(noise_odds, -30, 30)))
+        back = real[:, None] * p["target"][word] + fake @ p["target"][noise]
+        rows = np.concatenate([word, noise])
+        targets = np.concatenate([real[:, None] * predicted, fake.T @ predicted])
+        position = np.stack([(back * c1).sum(axis=0), (back * c2).sum(axis=0)])
+        self._descend("bias", rows, np.concatenate([real, fake.sum(axis=0)])[:, None])
+        self._descend("target", rows, targets)
+        self._descend("context", np.concatenate([one, two]), np.concatenate([back * p["position"][0], back * p["position"][1]]))
+        self.past["position"] += position**2
+        p["position"] -= RATE * position / np.sqrt(self.past["position"])
+
+    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(unit, weight, values) of each unit that took part, and of the positions as unit -1:
+        parameters, then sums of squares, as they are averaged over tasks."""
+        own = np.flatnonzero(self.seen)
+        values = np.concatenate([x[k][own] for x in (self.p, self.past) for k in self.NAMES], axis=1)
+        last = np.zeros((1, values.shape[1]), np.float32)
+        flat = np.concatenate([self.p["position"].ravel(), self.past["position"].ravel()])
+        last[0, : len(flat)] = flat
+        weight = np.append(self.seen[own], self.seen.sum())
+        return np.append(own, -1), weight, np.concatenate([values, last])
+
+
+def initial_state(share: np.ndarray) -> dict:
+    rng, count = np.random.default_rng(5), len(share)
     p = {
         "context": rng.normal(0, 0.1, (count, SIZE)), "target": rng.normal(0, 0.1, (count, SIZE)),
-        "position": np.ones((2, SIZE)), "bias": np.log(share),
+        "position": np.ones((2, SIZE)), "bias": np.log(share)[:, None],
     }
-    if not len(units):
-        return {k: v.astype(np.float32) for k, v in p.items()}
-    starts = np.zeros(len(units), np.int64)
-    starts[bounds[:-1][bounds[:-1] < len(units)]] = 1
-    first = np.maximum.accumulate(np.where(starts, np.arange(len(units)), 0))
-    age = np.arange(len(units)) - first
-    before = np.stack([np.where(age >= k, np.roll(units, k), END) for k in (1, 2)])
-    past = {k: np.full_like(v, 1e-6) for k, v in p.items()}
-    cumulative, log_noise = np.cumsum(share), np.log(share * NOISE)
-
-    def descend(name, rows, gradient):
-        if rows is None:
-            past[name] += gradient**2
-            p[name] -= RATE * gradient / np.sqrt(past[name])
-            return
-        total = np.zeros_like(p[name])
-        np.add.at(total, rows, gradient)
-        own = np.unique(rows)
-        past[name][own] += total[own] ** 2
-        p[name][own] -= RATE * total[own] / np.sqrt(past[name][own])
-
-    for _ in range(epochs):
-        order = rng.permutation(len(units))
-        for at in range(0, len(order), BATCH):
-            rows = order[at : at + BATCH]
-            word, one, two = units[rows], before[0, rows], before[1, rows]
-            noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), count - 1)
-            c1, c2 = p["context"][one], p["context"][two]
-            predicted = c1 * p["position"][0] + c2 * p["position"][1]
-            odds = (predicted * p["target"][word]).sum(axis=1) + p["bias"][word] - log_noise[word]
-            noise_odds = predicted @ p["target"][noise].T + p["bias"][noise] - log_noise[noise]
-            # derivative of the loss by each score
-            real = -1 / (1 + np.exp(np.clip(odds, -30, 30))) / len(rows)
-            fake = 1 / (1 + np.exp(-np.clip(noise_odds, -30, 30))) / len(rows)
-            back = real[:, None] * p["target"][word] + fake @ p["target"][noise]
-            targets = np.concatenate([real[:, None] * predicted, fake.T @ predicted])
-            descend("bias", np.concatenate([word, noise]), np.concatenate([real, fake.sum(axis=0)]))
-            descend("target", np.concatenate([word, noise]), targets)
-            position = np.stack([(back * c1).sum(axis=0), (back * c2).sum(axis=0)])
-            descend("context", np.concatenate([one, two]), np.concatenate([back * p["position"][0], back * p["position"][1]]))
-            descend("position", None, position)
-    return {k: v.astype(np.float32) for k, v in p.items()}
+    p = {k: v.astype(np.float32) for k, v in p.items()}
+    return {"p": p, "past": {k: np.full_like(v, 1e-6) for k, v in p.items()}}
+
+
+def averaged(state: dict, rows: list) -> dict:
+    """The state with the averages of all tasks: rows of unit, weight, weighted sums of values."""
+    p, past = ({k: v.copy() for k, v in state[n].items()} for n in ("p", "past"))
+    for unit, weight, *sums in rows:
+        values = np.array(sums, np.float64) / weight
+        if unit < 0:
+            n = p["position"].size
+            p["position"], past["position"] = (values[i * n : (i + 1) * n].reshape(2, SIZE).astype(np.float32) for i in (0, 1))
+            continue
+        at = 0
+        for table in (p, past):
+            for k in Trainer.NAMES:
+                width = table[k].shape[1]
+                table[k][unit] = values[at : at + width]
+                at += width
+    return {"p": p, "past": past}
 
 
 @dataclass
@@ -126,9 +168,11 @@ class Model:
             return
         v = self.vectors
         scores = [(v["context"] * v["position"][k]) @ v["target"].T for k in (0, 1)]
-        weighted = [np.exp(scores[0] + v["bias"]), np.exp(scores[1])]
-        self.norm = np.log(weighted[0] @ weighted[1].T)
-        self.following = [scores[0] + v["bias"], scores[1]]
+        scores[0] = scores[0] + v["bias"]
+        top = [x.max(axis=1, keepdims=True) for x in scores]
+        weighted = [np.exp(x - m) for x, m in zip(scores, top)]
+        self.norm = np.log(weighted[0] @ weighted[1].T) + top[0] + top[1].T
+        self.following = scores
 
     def look_up(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Unit of each word, and its place among the frequent words (-1: not there)."""
@@ -216,26 +260,49 @@ def train_model(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: st
         [r.word for r in top], len(own), np.array([r.c for r in top], np.int64), int(total.n) + documents, int(total.v) + (documents > 0), documents,
         np.array([sums.get(k, (0, 0))[0] for k in range(CLASSES)]), np.array([sums.get(k, (0, 0))[1] for k in range(CLASSES)]),
     )
-    words = docs.sparkSession.sparkContext.broadcast(model)
-
-    def units(batches):
-        for batch in batches:
-            batch_words = WordBatch(batch.column(0))
-            unit, _ = words.value.look_up(batch_words.vocabulary)
-            run, _, _ = with_ends(batch_words, unit)
-            bounds = np.append(batch_words.bounds + np.arange(len(batch_words.bounds)), [])
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(run, pa.int32()))], ["units"])
-
-    place = F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(1 << 30)) / (1 << 30)
-    drawn = rows.where(place < min(1.0, SAMPLE / max(documents, 1))).select("text").mapInArrow(units, "units array<int>").toArrow()
-    lists = drawn.column("units").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
-    sample = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) if len(lists) else np.zeros(0, np.int64)
-    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64) if len(lists) else np.zeros(1, np.int64)
-    model.vectors = train_vectors(sample, bounds, model.units)
+    model.vectors = fit_vectors(rows, model)
     return model, counts
 
 
+def fit_vectors(rows: DataFrame, model: Model) -> dict[str, np.ndarray]:
+    """Vectors and biases learned from every row (doc_id, text), each once.
+
+    The rows are dealt to ROUNDS by a hash of the id and text. In a round each task goes on from
+    the same parameters over its own texts; these come back as one row for each unit, are
+    averaged by how often the unit took part, and start the next round. The driver holds
+    parameters only, whose number is fixed.
+    """
+    own = model.own
+    first = np.array(model.counts[:own], np.float64)
+    share = np.concatenate([[model.documents], first, model.class_tokens]) + 1.0
+    share /= share.sum()
+    state, context = initial_state(share), rows.sparkSession.sparkContext
+    width = 2 * (2 * SIZE + 1)
+    for number in range(ROUNDS):
+        shared = context.broadcast((model, share, state))
+
+        def learn(batches, shared=shared, number=number):
+            m, noise, start = shared.value
+            trainer = Trainer(noise, 1000 * number + (TaskContext.get().partitionId() if TaskContext.get() else 0), start)
+            for part in (part for batch in batches for _, part in slices(batch.column(0), 2 << 20)):
+                words = WordBatch(part)
+                unit, _ = m.look_up(words.vocabulary) if len(words.vocabulary) else (np.zeros(0, np.int64), None)
+                run, _, begin = with_ends(words, unit)
+                trainer.learn(run, begin)
+            if trainer.seen.any():
+                unit, weight, values = trainer.blocks()
+                ends = pa.array(np.arange(len(unit) + 1, dtype=np.int32) * width)
+                lists = pa.ListArray.from_arrays(ends, pa.array(values.ravel().astype(np.float32)))
+                yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int32()), pa.array(weight), lists], ["unit", "weight", "v"])
+
+        dealt = rows.where(F.pmod(F.xxhash64(F.lit(13), "doc_id", "text"), F.lit(ROUNDS)) == number)
+        learned = dealt.select("text").mapInArrow(learn, "unit int, weight double, v array<float>")
+        sums = learned.groupBy("unit").agg(F.sum("weight"), *[F.sum(F.col("v")[i] * F.col("weight")) for i in range(width)])
+        state = averaged(state, [tuple(r) for r in sums.collect()])
+        shared.unpersist()
+    return state["p"] | {"bias": state["p"]["bias"][:, 0]}
+
+
 def score_documents(docs: DataFrame, model: Model, counts: DataFrame, keep: tuple[Column, ...] = (), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ``keep``, n_tokens, n_known, train_tokens, base_score, score for each row.
 

@@ -7,9 +7,12 @@ formatted, gets the same surrogate. A surrogate's characters come from a keyed S
 kind and normal form: letters become letters, digits digits, octets octets; card numbers
 keep their first digit and whether their check digit is right, account numbers their
 country, addresses their top-level domain, given names their gender, all names their
-script. A mention keeps its own separators and capitals.
+script. A mention keeps its own separators and capitals. A name is one entity whatever its
+title: its gender comes from the titles of all its mentions in the corpus, or else from the
+lists of given names, and where a text has it with a title, other capitalised mentions in
+that text are replaced too.
 
-Surrogates are checked over the whole corpus: within a kind no two entities may share one,
+Surrogates are checked over the whole corpus: within a class no two entities may share one,
 and none may equal an entity that really occurs. Losers of a collision (all but the first
 by normal form) are drawn again with the next attempt number.
 
@@ -54,7 +57,6 @@ TITLE = rf"(?<!\p{{L}})(?:{_TITLES})\.? (?=\p{{Lu}}\p{{L}})"
 NAME = rf"{TITLE}{_NAME}(?: {_NAME})?"
 #: The first alternative that matches at a place decides.
 PATTERN = "|".join((EMAIL, IP, CARD, SSN, PHONE, IBAN, NAME))
-KINDS = ("email", "ip", "card", "ssn", "phone", "iban", "given_m", "given_f", "name")
 MAX_ATTEMPTS = 64
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -78,17 +80,32 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def kind_of(value: Column, before: Column, after: Column, following: Column) -> Column:
-    """The kind of a match, given the text before and after it and the match that follows."""
-    title = F.regexp_extract(before, rf"(?<!\p{{L}})({_TITLES})\.? $", 1)
-    given = (after == " ") & following.rlike(r"^\p{Lu}")
+def class_of(value: Column) -> Column:
+    """The class of a match; names are one class whatever their title."""
     return (
         F.when(value.contains("@"), "email").when(value.rlike(f"^(?:{IP})$"), "ip").when(value.rlike(f"^(?:{SSN})$"), "ssn")
         .when(value.rlike(f"^(?:{CARD})$"), "card").when(value.rlike("^[A-Z]{2}[0-9]{2}"), "iban").when(value.rlike("[0-9]"), "phone")
-        .when(given & title.isin(*MALE), "given_m").when(given & title.isin(*FEMALE), "given_f").otherwise("name")
+        .otherwise("name")
     )
 
 
+def gender_hint(before: Column, after: Column, following: Column) -> Column:
+    """m or f where a title says so of the given name that it stands before, else null."""
+    title = F.regexp_extract(before, rf"(?<!\p{{L}})({_TITLES})\.? $", 1)
+    given = (after == " ") & following.rlike(r"^\p{Lu}")
+    return F.when(given & title.isin(*MALE), "m").when(given & title.isin(*FEMALE), "f")
+
+
+def with_kinds(mentions: DataFrame) -> DataFrame:
+    """class, norm, kind of each entity of the mentions. A name has the gender that its titles
+    name in any mention, or else, also where they differ, the one that GIVEN has for it."""
+    said = [F.max(F.when(F.col("hint") == g, 1).otherwise(0)).alias(g) for g in "mf"]
+    listed = {g: F.col("norm").isin(*[n.lower() for (own, _), names in GIVEN.items() if own == g for n in names]) for g in "mf"}
+    gender = F.when(F.col("m") > F.col("f"), "m").when(F.col("f") > F.col("m"), "f").when(listed["m"], "m").when(listed["f"], "f")
+    kind = F.when((F.col("class") == "name") & gender.isNotNull(), F.concat(F.lit("given_"), gender)).otherwise(F.col("class"))
+    return mentions.groupBy("class", "norm").agg(*said).select("class", "norm", kind.alias("kind"))
+
+
 def normal_form(kind: Column, value: Column) -> Column:
     """What all mentions of one entity share."""
     return (
@@ -168,46 +185,62 @@ def rendered(kind: Column, value: Column, surrogate: Column) -> Column:
     spaced = F.aggregate(F.split(value, ""), start, step)["out"]
     named = F.when(value == F.upper(value), F.upper(surrogate)).otherwise(F.initcap(surrogate))
     cased = F.when(value == F.upper(value), F.upper(surrogate)).otherwise(surrogate)
-    return F.when(kind.isin("card", "ssn", "phone", "iban"), spaced).when(kind.isin("given_m", "given_f", "name"), named).when(kind == "email", cased).otherwise(surrogate)
+    return F.when(kind.isin("card", "ssn", "phone", "iban"), spaced).when(kind == "name", named).when(kind == "email", cased).otherwise(surrogate)
 
 
 def choose_surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """kind, norm, surrogate for distinct (kind, norm) rows, collision-free within a kind."""
+    """class, norm, kind, surrogate for distinct (class, norm, kind) rows, collision-free within
+    a class."""
     waiting, chosen = entities, None
     for attempt in range(MAX_ATTEMPTS):
         drawn = waiting.withColumn("surrogate", candidate(F.col("kind"), F.col("norm"), F.lit(attempt), key))
-        free = drawn.join(entities.select("kind", F.col("norm").alias("surrogate")), ["kind", "surrogate"], "left_anti")
+        free = drawn.join(entities.select("class", F.col("norm").alias("surrogate")), ["class", "surrogate"], "left_anti")
         if chosen is not None:
-            free = free.join(chosen.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        won = free.groupBy("kind", "surrogate").agg(F.min("norm").alias("norm")).select("kind", "norm", "surrogate")
+            free = free.join(chosen.select("class", "surrogate"), ["class", "surrogate"], "left_anti")
+        won = free.groupBy("class", "surrogate").agg(F.min(F.struct("norm", "kind")).alias("e")).select("class", "e.norm", "e.kind", "surrogate")
         won = won if chosen is None else chosen.unionByName(won)
         chosen = cut_lineage(won)
-        waiting = cut_lineage(entities.join(chosen, ["kind", "norm"], "left_anti"))
+        waiting = cut_lineage(entities.join(chosen, ["class", "norm"], "left_anti"))
         if waiting.isEmpty():
             return chosen
     raise ValueError(f"no free surrogates after {MAX_ATTEMPTS} attempts")
 
 
+def untitled(piece: Column, known: Column) -> Column:
+    """A piece of text between matches in runs of letters and of other characters, as
+    struct<token, new>; new is the surrogate of a capitalised word that is a known name."""
+
+    def named(token: Column) -> Column:
+        new = F.when(token.rlike(r"^\p{Lu}"), F.try_element_at(known, F.lower(token)))
+        return F.struct(token.alias("token"), F.when(new.isNotNull(), rendered(F.lit("name"), token, new)).alias("new"))
+
+    return F.transform(F.regexp_extract_all(piece, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0)), named)
+
+
 def replace_private(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text with surrogates, n_entities, kinds (sorted, distinct) for each row."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    none = F.array().cast("array<string>")
     # every entity has an at sign, a digit before a digit or separator, or a title
     may_hold = F.col("text").contains("@") | F.col("text").rlike("[0-9][0-9().-]") | F.col("text").rlike(NAME)
-    found = F.when(may_hold, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("found", F.coalesce(found, F.array().cast("array<string>")))
-    plain = rows.where(F.size("found") == 0).select("doc_id", "text", F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
+    found = F.when(may_hold, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(none)
+    rows = rows.withColumn("found", F.coalesce(found, none))
+    plain = rows.where(F.size("found") == 0).select("doc_id", "text", F.lit(0).alias("n_entities"), none.alias("kinds"))
     holding = cut_lineage(rows.where(F.size("found") > 0).select(F.monotonically_increasing_id().alias("row"), "doc_id", "found", F.split("text", PATTERN, -1).alias("pieces")))
     parted = name_parts(F.col("found"), F.col("pieces"))
     holding = holding.select("row", "doc_id", parted[0].alias("found"), parted[1].alias("pieces"))
     places = holding.select("row", F.posexplode("found").alias("at", "value"), "found", "pieces")
-    places = places.select(
-        "row", "at", "value",
-        kind_of(F.col("value"), F.get("pieces", F.col("at")), F.get("pieces", F.col("at") + 1), F.coalesce(F.get("found", F.col("at") + 1), F.lit(""))).alias("kind"),
-    )
-    mentions = cut_lineage(places.withColumn("norm", normal_form(F.col("kind"), F.col("value"))))
-    chosen = choose_surrogates(mentions.select("kind", "norm").distinct(), key)
-    named = mentions.join(chosen, ["kind", "norm"]).select("row", "at", "kind", rendered(F.col("kind"), F.col("value"), F.col("surrogate")).alias("new"))
-    gathered = named.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("new"), F.array_sort(F.collect_set("kind")).alias("kinds"))
+    hint = gender_hint(F.get("pieces", F.col("at")), F.get("pieces", F.col("at") + 1), F.coalesce(F.get("found", F.col("at") + 1), F.lit("")))
+    places = places.select("row", "at", "value", class_of(F.col("value")).alias("class"), hint.alias("hint"))
+    mentions = cut_lineage(places.withColumn("norm", normal_form(F.col("class"), F.col("value"))))
+    chosen = choose_surrogates(cut_lineage(with_kinds(mentions)), key)
+    named = mentions.join(chosen, ["class", "norm"]).select("row", "at", "kind", "class", "norm", "surrogate", rendered(F.col("class"), F.col("value"), F.col("surrogate")).alias("new"))
+    known = F.collect_set(F.when(F.col("class") == "name", F.struct("norm", "surrogate")))
+    gathered = named.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("new"), F.array_sort(F.collect_set("kind")).alias("kinds"), F.map_from_entries(known).alias("known"))
     whole = holding.join(gathered, "row")
-    joined = F.array_join(F.transform("pieces", lambda p, i: F.concat(p, F.coalesce(F.get(F.col("new.new"), i), F.lit("")))), "")
-    return plain.unionByName(whole.select("doc_id", joined.alias("text"), F.size("found").alias("n_entities"), "kinds"))
+    tokens = F.when(F.size("known") > 0, F.transform("pieces", lambda p: untitled(p, F.col("known"))))
+    whole = whole.withColumn("tokens", tokens).withColumn("more", F.coalesce(F.aggregate("tokens", F.lit(0), lambda n, t: n + F.size(F.filter(t, lambda x: x["new"].isNotNull()))), F.lit(0)))
+    said = lambda t: F.array_join(F.transform(t, lambda x: F.coalesce(x["new"], x["token"])), "")
+    spoken = F.coalesce(F.transform("tokens", said), F.col("pieces"))
+    joined = F.array_join(F.transform(spoken, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("new.new"), i), F.lit("")))), "")
+    return plain.unionByName(whole.select("doc_id", joined.alias("text"), (F.size("found") + F.col("more")).alias("n_entities"), "kinds"))

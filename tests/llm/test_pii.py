@@ -63,3 +63,50 @@ def test_repeated_empty_and_long(spark):
     first, second = got[2].text.split()
     assert first == second and got[2].n_entities == 2
     assert pii.replace_private(docs.limit(0), "k").count() == 0
+
+
+def test_one_person_has_one_surrogate(spark):
+    text = "Mr Peter Schmidt met Dr Peter Schmidt. Later Peter Schmidt left, peter stayed. Anna Meyer wrote to Dr Anna Weber and PETER."
+    got = run(spark, [text, "Prof. Peter Ling", "Peter Schmidt and Anna alone"])
+    m = re.fullmatch(r"Mr (\w+) (\w+) met Dr (\w+) (\w+)\. Later (\w+) (\w+) left, peter stayed\. (\w+) Meyer wrote to Dr (\w+) (\w+) and (\w+)\.", got[0].text)
+    assert m and m[1] == m[3] == m[5] == m[10].capitalize() and m[2] == m[4] == m[6] and m[7] == m[8]
+    assert m[1] in pii.GIVEN["m", "latin"] and m[8] in pii.GIVEN["f", "latin"] and not {m[1], m[2], m[8], m[9]} & {"Peter", "Schmidt", "Anna", "Weber"}
+    assert re.match(r"Prof\. (\w+) ", got[1].text)[1] == m[1] and got[0].n_entities == 10
+    assert got[2].text == "Peter Schmidt and Anna alone" and got[2].n_entities == 0
+
+
+def test_by_brute_force(spark):
+    """Every planted entity is replaced, one for one over the corpus, and nothing else is."""
+    rng = random.Random(9)
+    pools = {
+        "email": [f"user{i}@host{i % 7}.example.org" for i in range(40)], "ip": [f"10.{i}.7.{i + 3}" for i in range(40)],
+        "ssn": [f"{100 + i}-4{i % 10}-{2000 + i}" for i in range(40)], "phone": [f"555-{200 + i}-{3000 + i}" for i in range(40)],
+        "name": [f"{a}{b}" for a in ("Bal", "Cor", "Dim", "Fel") for b in ("ton", "wick", "ham", "rand", "lows")],
+    }
+    rows, plan = [], []
+    for i in range(150):
+        parts, put = [], []
+        for _ in range(rng.randrange(5)):
+            kind = rng.choice(list(pools))
+            value = rng.choice(pools[kind])
+            parts += [rng.choice(["see", "and", "(or)", "word,"]), ("Dr " if kind == "name" else "") + value]
+            put.append((kind, value))
+        rows.append(" ".join([*parts, "end"]))
+        plan.append(put)
+    got = run(spark, rows)
+    forward, back = {}, {}
+    for i, put in enumerate(plan):
+        pattern = re.escape(rows[i])
+        for _, value in put:
+            pattern = pattern.replace(re.escape(value), r"([\w.@-]+)", 1)
+        m = re.fullmatch(pattern, got[i].text)
+        assert m and got[i].n_entities == len(put), (rows[i], got[i].text)
+        for (kind, value), new in zip(put, m.groups()):
+            assert forward.setdefault((kind, value), new) == new and back.setdefault((kind, new), value) == value
+            assert new not in pools[kind]
+
+
+def test_null_ids_and_ties(spark):
+    docs = spark.createDataFrame([(None, "a@b.example.com"), (None, "a@b.example.com"), (1, "a@b.example.com"), (1, None)], "doc_id long, text string")
+    got = pii.replace_private(docs, "k").collect()
+    assert len(got) == 4 and len({r.text for r in got}) == 2 and sorted(r.n_entities for r in got) == [0, 1, 1, 1]

@@ -80,3 +80,23 @@ def test_repeated_rows_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (None, None), (7, "d")], "doc_id long, text string")
     got = sorted(sketch.edited_pairs(docs).collect(), key=str)
     assert len(got) == 5 and [r.near_next for r in got if r.doc_id == 1].count(1.0) == 1
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_sparse_and_textual_ids(spark, kind):
+    rng = random.Random(5)
+    make = (lambda: rng.randrange(-(1 << 62), 1 << 62)) if kind == "long" else (lambda: f"{rng.choice('aZé_')}{rng.randrange(10**9)}")
+    data = list({make(): f"{'word ' * rng.randrange(9)}{i} " + "x" * rng.randrange(30) for i in range(400)}.items())
+    docs = spark.createDataFrame(data, f"doc_id {kind}, text string").repartition(6)
+    order = sorted(data, key=lambda r: r[0] if kind == "long" else r[0].encode(), reverse=True)
+    got = {r.doc_id: r.edited_sha256 for r in sketch.edited_pairs(docs).collect()}
+    for (i, text), (_, after) in zip(order, order[1:] + order[:1]):
+        third = len(text) // 3
+        assert got.pop(i) == hashlib.sha256((text[: len(text) - third] + after[:third]).encode()).hexdigest()
+    assert not got
+
+
+def test_pure_threshold(spark):
+    df = spark.createDataFrame([([5, sketch.THRESHOLD - 1, -7, 5],), ([],)], "h array<bigint>").withColumn("s", sketch.sketch_of_hashes(F.col("h"), 0))
+    got = df.select("s", sketch.containment(F.col("s"), F.col("s"), 0).alias("c")).collect()
+    assert sorted((r.s, r.c) for r in got) == [([], 1.0), ([sketch.THRESHOLD - 1], 1.0)]

@@ -43,8 +43,8 @@ COUNTED, COMMON, MOST_COMMON = 16, 4, 100_000
 BLOCK = 1024
 #: Numbers of texts to compare that may be broadcast; more are joined by shuffling.
 MAX_SENT = 200_000
-#: Bits of an outline: which of so many classes of hashes a text's shingles fall in.
-OUTLINE = 1024
+#: Bits of an outline for each shingle of a text, and the least number of 64-bit words.
+OUTLINE, LEAST_WORDS = 4, 4
 #: Bytes of text whose shingles are held at once.
 SLICE = 2 << 20
 #: Odd numbers that mix the hashes of a shingle's words by their place.
@@ -107,11 +107,14 @@ def as_lists(value: np.ndarray, owner: np.ndarray, count: int) -> pa.ListArray:
 
 
 def outlines_of(value: np.ndarray, owner: np.ndarray, count: int) -> pa.ListArray:
-    """OUTLINE bits for each text, in 64-bit words, of which those are set that some hash names."""
-    bits = np.zeros((count, OUTLINE), bool)
-    bits[owner, (value % np.uint64(OUTLINE)).astype(np.int64)] = True
-    packed = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-    return as_lists(packed.ravel(), np.repeat(np.arange(count), packed.shape[1]), count)
+    """For each text OUTLINE or more bits for each of its hashes, in 64-bit words whose number
+    is a power of two: those bits are set that some hash names, modulo their number."""
+    size = np.bincount(owner, minlength=count)
+    words = np.left_shift(1, np.ceil(np.log2(np.maximum(size * OUTLINE / 64, LEAST_WORDS))).astype(np.int64))
+    starts = np.cumsum(words) - words
+    bits = np.zeros(int(words.sum()) * 64, bool)
+    bits[starts[owner] * 64 + (value & (words[owner] * 64 - 1).astype(np.uint64)).astype(np.int64)] = True
+    return as_lists(np.packbits(bits, bitorder="little").view(np.uint64), np.repeat(np.arange(count), words), count)
 
 
 def prefixes_of(value: np.ndarray, owner: np.ndarray, count: int, common: tuple[np.ndarray, np.ndarray]) -> pa.ListArray:
@@ -186,11 +189,16 @@ def may_be_similar(x: Column, y: Column) -> Column:
     """False only where no overlap of SIMILARITY is possible, by the outlines of two texts.
 
     Each bit of x that y lacks stands for at least one shingle that y lacks, so both sizes
-    less such bits bound what is common. Outlines of long texts are full and pass.
+    less such bits bound what is common. Of outlines of two lengths the longer is folded to
+    the shorter; where it is more than twice as long, the sizes differ too much.
     """
-    alone = lambda p, q: F.aggregate(F.zip_with(p["bits"], q["bits"], lambda m, n: F.bit_count(m.bitwiseAND(F.bitwise_not(n)))), F.lit(0), lambda total, n: total + n)
+    length = F.least(F.size(x["bits"]), F.size(y["bits"]))
+    either = lambda m, n: m.bitwiseOR(n)
+    folded = lambda p: F.when(F.size(p["bits"]) == length, p["bits"]).otherwise(F.zip_with(F.slice(p["bits"], F.lit(1), length), F.slice(p["bits"], length + 1, length), either))
+    alone = lambda p, q: F.aggregate(F.zip_with(folded(p), folded(q), lambda m, n: F.bit_count(m.bitwiseAND(F.bitwise_not(n)))), F.lit(0), lambda total, n: total + n)
+    far = F.least(x["size"], y["size"]) < SIMILARITY * F.greatest(x["size"], y["size"]) - 1e-6
     most = F.least(x["size"] - alone(x, y), y["size"] - alone(y, x))
-    return most >= SIMILARITY * (x["size"] + y["size"] - most)
+    return F.when(far, False).otherwise(most >= SIMILARITY * (x["size"] + y["size"] - most))
 
 
 def fingerprint(text: Column, size: int = 5) -> Column:

@@ -36,12 +36,13 @@ def brand_flag(*data: Column, mark: str = "ORIGINAL") -> Column:
 
 
 def replenish(stock: Column, ordered: Column) -> Column:
-    """What is left after an order: refilled by 91 where fewer than ten would stay."""
+    """What is left after an order: refilled by 91 where fewer than ten would stay (fixed values)."""
     return F.when(stock >= ordered + 10, stock - ordered).otherwise(stock + 91 - ordered)
 
 
 def audit_entry(c_id: Column, c_d: Column, c_w: Column, d: Column, w: Column, amount: Column, when: Column, *rest: Column) -> Column:
-    """The fixed-width note on a payment, before the customer's earlier notes; 500 characters."""
+    """The fixed-width note on a payment, before the customer's earlier notes; 500 characters.
+    Format and length are fixed values."""
     note = F.format_string("| %4d %2d %4d %2d %4d $%7.2f %d%s%s %s", c_id, c_d, c_w, d, w, amount, when, *rest)
     return F.substring(note, 1, 500)
 

@@ -58,5 +58,5 @@ def within_budget(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
 
 def sample_rows(df: DataFrame, key: str, count: int, seed: int) -> DataFrame:
-    """A random ``count`` rows, the same for the same rows and seed."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(count)
+    """A random ``count`` rows, the same for the same rows and seed: the first by a digest."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(count)

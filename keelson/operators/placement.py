@@ -187,4 +187,4 @@ def oldest_victim(blocks: DataFrame, group: Sequence[str], place: str) -> DataFr
 
 def random_victim(blocks: DataFrame, group: Sequence[str], place: str, seed: int) -> DataFrame:
     """A random block of each group, the same for the same seed."""
-    return _first(blocks, group, F.xxhash64(F.lit(seed), place), F.col(place))
+    return _first(blocks, group, F.md5(F.concat(F.lit(f"{seed}:"), F.col(place).cast("string")).cast("binary")), F.col(place))

@@ -89,11 +89,11 @@ def _(t):
 
 def _new_customers(t: Tables):
     """Requests with some keys present, some absent and some twice."""
-    rows = t.orders.where("o_orderkey < 400").select((F.col("o_custkey") * 3).alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"), F.col("o_orderkey").alias("seq"))
+    rows = t.orders.select((F.col("o_custkey") * 3).alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"), F.col("o_orderkey").alias("seq"))
     return rows
 
 
-_NEW = "(SELECT o_custkey * 3 AS c_custkey, o_totalprice AS c_acctbal, o_orderkey AS seq FROM orders WHERE o_orderkey < 400)"
+_NEW = "(SELECT o_custkey * 3 AS c_custkey, o_totalprice AS c_acctbal, o_orderkey AS seq FROM orders)"
 
 
 @add("insert_if_absent", f"SELECT c_custkey, c_acctbal, CAST(NULL AS BIGINT) AS seq FROM customer UNION ALL SELECT c_custkey, arg_min(c_acctbal, seq), min(seq) FROM {_NEW} n WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = n.c_custkey) GROUP BY c_custkey")
@@ -121,9 +121,9 @@ def _(t):
     return mutate.erase(t.customer, gone, ["c_custkey"]).select("c_custkey", "c_name")
 
 
-@add("erase_flags", "SELECT k AS c_custkey, EXISTS (SELECT 1 FROM customer WHERE c_custkey = k) AS erased FROM (SELECT DISTINCT o_custkey * 2 AS k FROM orders WHERE o_orderkey < 300)")
+@add("erase_flags", "SELECT k AS c_custkey, EXISTS (SELECT 1 FROM customer WHERE c_custkey = k) AS erased FROM (SELECT DISTINCT o_custkey * 2 AS k FROM orders)")
 def _(t):
-    gone = t.orders.where("o_orderkey < 300").select((F.col("o_custkey") * 2).alias("c_custkey"))
+    gone = t.orders.select((F.col("o_custkey") * 2).alias("c_custkey"))
     return mutate.erased(t.customer, gone, ["c_custkey"])
 
 
@@ -248,7 +248,7 @@ def _(t):
     return aggregates.within_budget(rows, ["c_nationkey"], [F.desc("c_acctbal"), F.col("c_custkey")], "c_acctbal", 20000)
 
 
-@add("random_rows", None)
+@add("random_rows", "SELECT p_partkey, p_name FROM part ORDER BY md5('3:' || p_partkey), p_partkey LIMIT 20")
 def _(t):
     return aggregates.sample_rows(t.part.select("p_partkey", "p_name"), "p_partkey", 20, seed=3)
 

@@ -128,7 +128,7 @@ def _(t):
     return placement.oldest_victim(blocks(t), ["grp"], "block").select("grp", "block", "valid", "edt")
 
 
-@add("gc_random", None)
+@add("gc_random", _victim("md5('7:' || block), block"))
 def _(t):
     return placement.random_victim(blocks(t), ["grp"], "block", 7).select("grp", "block", "valid", "edt")
 

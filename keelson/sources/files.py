@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,11 +16,10 @@ SCHEMAS = {
     "articles": "text string",
     "metrics": "second timestamp, tx bigint, reads bigint, bytes double",
 }
-#: A syscall line of a trace: name(arguments) = result.
-SYSCALL = r"^(SYS_[a-z]*)\((.*)\)\s*=(.*)$"
+#: Fixed values of the trace format: the calls that count, what stands for the working
+#: directory in a call, and the descriptor that it gets here.
 TRACED = ("SYS_openat", "SYS_newfstatat", "SYS_close", "SYS_read", "SYS_write")
-#: The descriptor that stands for the working directory.
-WORKING_DIRECTORY = 100
+AT_WORKING_DIRECTORY, WORKING_DIRECTORY = "0xffffff9c", 100
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, *, trim: bool = True, comment: str | None = None, ignore_extra: bool = False, on_error: str = "FAILFAST", **options) -> DataFrame:
@@ -45,6 +44,19 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def call_parts(line: Column) -> dict[str, Column]:
+    """op, args, result of a line ``name(arguments) = result``. The name ends at the first
+    bracket, the result begins after the last equals sign, and the arguments end with the
+    bracket before it; other lines have a null op."""
+    op = F.substring_index(line, "(", 1)
+    rest = F.substring(line, F.length(op) + 2, F.length(line))
+    result = F.substring_index(rest, "=", -1)
+    before = F.rtrim(F.substring(rest, F.lit(1), F.length(rest) - F.length(result) - 1))
+    whole = line.contains("(") & rest.contains("=") & before.endswith(")")
+    args = F.substring(before, F.lit(1), F.length(before) - 1)
+    return {"op": F.when(whole, op), "args": F.trim(args), "result": F.trim(result)}
+
+
 def parse_trace(lines: DataFrame, order: str, line: str) -> DataFrame:
     """op, fd, size, flags, merged of traced syscalls, in order; failed calls are left out.
 
@@ -53,14 +65,12 @@ def parse_trace(lines: DataFrame, order: str, line: str) -> DataFrame:
     """
     from keelson.operators.running import merge_runs
 
-    rows = lines.where(F.col(line).rlike(SYSCALL)).select(
-        order, *[F.trim(F.regexp_extract(line, SYSCALL, i)).alias(n) for i, n in ((1, "op"), (2, "args"), (3, "result"))]
-    ).where(F.col("op").isin(*TRACED))
+    rows = lines.select(order, *[c.alias(n) for n, c in call_parts(F.col(line)).items()]).where(F.col("op").isin(*TRACED))
     rows = rows.withColumn("result", F.regexp_extract("result", r"^-?\d+", 0).cast("bigint")).where("result >= 0")
     args = F.split("args", r"\s*,\s*")
     number = lambda i: F.try_element_at(args, F.lit(i))
     whole = lambda c: F.when(c.startswith("0x"), F.conv(F.substring(c, 3, 16), 16, 10)).otherwise(c).cast("bigint")
-    first = F.when(number(1) == "0xffffff9c", F.lit(WORKING_DIRECTORY)).otherwise(whole(number(1)))
+    first = F.when(number(1) == AT_WORKING_DIRECTORY, F.lit(WORKING_DIRECTORY)).otherwise(whole(number(1)))
     moves = F.col("op").isin("SYS_read", "SYS_write")
     rows = rows.select(
         order, "op",

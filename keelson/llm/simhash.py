@@ -17,6 +17,7 @@ columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -361,7 +362,7 @@ def near_links(texts: DataFrame, prints: DataFrame) -> DataFrame:
     """Links (a, b) between similar distinct texts, which join all that all similar pairs join.
 
     First each text is compared with those that SimHash shards name (FIRST_RADIUS) and with
-    the texts of lowest and highest node that share a prefix shingle. Of all other
+    the texts of lowest and highest node, and one more, that share a prefix shingle. Of all other
     pairs that share a prefix shingle those within one class by then add nothing; the rest
     are compared too, so nothing is missed and a group of thousands isn't compared pair by
     pair. ``prints`` has node, fingerprint, size, bits, prefix, for each document.
@@ -382,14 +383,18 @@ def near_links(texts: DataFrame, prints: DataFrame) -> DataFrame:
     tokens = tokens.select("token", "node", packed.alias("packed"))
     met = tokens.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
     shared = cut_lineage(tokens.join(met, "token"))
-    ends = shared.groupBy("token").agg(F.min_by("packed", "node").alias("first_packed"), F.max_by("packed", "node").alias("last_packed"))
-    starred = shared.join(ends, "token").where("node <> first or node <> last")
+    drawn = F.xxhash64("token", "node")  # another one for each shingle that a group shares
+    ends = shared.groupBy("token").agg(
+        F.min_by("packed", "node").alias("first_packed"), F.max_by("packed", "node").alias("last_packed"),
+        F.min_by("node", drawn).alias("any"), F.min_by("packed", drawn).alias("any_packed"),
+    )
+    starred = shared.join(ends, "token")
     size, left = lambda x: F.shiftright(x, 32), lambda x: F.col(x).bitwiseAND(0xFFFFFFFF)
     stars = [
         starred.where(_may_reach(size("packed"), size(f"{c}_packed"), left("packed"), left(f"{c}_packed"))).select(F.col("node").alias("a"), F.col(c).alias("b"))
-        for c in ("first", "last")
+        for c in ("first", "last", "any")
     ]
-    links = cut_lineage(_similar(_possible(same.unionByName(across).unionByName(stars[0]).unionByName(stars[1]), items), texts))
+    links = cut_lineage(_similar(_possible(reduce(DataFrame.unionByName, [same, across, *stars]), items), texts))
     roots = cut_lineage(connected_components(links, "a", "b"))
     rest = _possible(_pairs_left(shared.select("node", "token", size("packed").cast("int").alias("size"), left("packed").cast("int").alias("left")), roots), items)
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar(rest, texts))

@@ -36,7 +36,7 @@ SAMPLE, CALIBRATION = 800, 0.25
 KEEP_ALL = 3
 #: How far, in deviations above the mean, a cross-entropy may lie; and the score's slope.
 REJECT_DEVIATIONS, SLOPE = 4.0, 12.0
-#: Languages of one model; the columns of its tables.
+#: Languages of one model, the columns of its tables; more are an error.
 MAX_LANGUAGES = 512
 NON_LETTERS = r"[^\p{L}\p{M}]+"
 
@@ -63,11 +63,17 @@ def letters(texts: pa.Array) -> Words:
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))[filled.to_numpy(zero_copy_only=False)]
     coded = flat.filter(filled).dictionary_encode()
     vocabulary = coded.dictionary
+    code = coded.indices.to_numpy().astype(np.int64)
+    lettered = pc.match_substring_regex(vocabulary, r"\p{L}").to_numpy(zero_copy_only=False)
+    if not lettered.all():  # marks alone are no word
+        kept = lettered[code]
+        owner, code = owner[kept], (np.cumsum(lettered) - 1)[code[kept]]
+        vocabulary = vocabulary.filter(pa.array(lettered))
     text = " " + "".join(w + " " for w in vocabulary.to_pylist())
     chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = pc.utf8_length(vocabulary).to_numpy(zero_copy_only=False).astype(np.int64) + 1
     starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    return Words(owner, coded.indices.to_numpy().astype(np.int64), chars, starts)
+    return Words(owner, code, chars, starts)
 
 
 def ngram_hashes(words: Words) -> list[np.ndarray]:
@@ -232,7 +238,9 @@ class LanguageModels:
 
 def sample(train: DataFrame, lang: str, doc_id: str, bound: float) -> DataFrame:
     """About ``bound`` rows of each language, by a hash of the id; all of rarer ones."""
-    sizes = {r[0]: r[1] for r in train.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()}
+    sizes = {r[0]: r[1] for r in train.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return train.withColumn("place", F.lit(0.0)).where(F.lit(False))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, bound / n))])[F.col(lang)]

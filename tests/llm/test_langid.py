@@ -88,3 +88,12 @@ def test_documents(spark):
     assert odd.rejected and not by_id[903].rejected
     none = langid.train_models(docs.limit(0), F.lit(True))
     assert {r.lang_pred for r in langid.predict_languages(docs, none).collect()} == {"und"}
+
+
+def test_marks_alone_are_no_letters():
+    import pyarrow as pa
+
+    from keelson.llm import langid
+
+    words = langid.letters(pa.array(["\u0301\u0308 12", "e\u0301 \u0301 b", None]))
+    assert sorted(words.owner.tolist()) == [1, 1] and len(words.starts) == 3

@@ -229,6 +229,8 @@ def _page(file: bytes, tags: dict[int, tuple], number: int) -> Page:
         across, down, places, sizes = one(322), one(323), tags[324], tags[325]
     else:
         across, down, places, sizes = width, min(one(278, height), height), tags[273], tags[279]
+    if not across or not down or (height + down) * (width + across) > 4 * MAX_SAMPLES:
+        raise ValueError("strips or tiles without usable dimensions")
     grid = np.zeros((-(-height // down) * down, -(-width // across) * across), np.uint8)
     columns = grid.shape[1] // across
     for i, (place, size) in enumerate(zip(places, sizes)):

@@ -60,3 +60,18 @@ def test_digests_by_brute_force(spark):
         assert r.tail_crc32 == zlib.crc32(padded[-64:])
     assert got[0][1:] == got[1][1:] and got[2][1:] == got[3][1:]
     assert tiff.stored_digests(docs.limit(0)).count() == 0
+
+
+def test_unusable_strips_and_tiles_give_error_rows(spark):
+    import struct
+
+    from keelson.llm import tiff
+
+    files = []
+    for layout, tag, value in (((tiff.DEFLATE, False, 1), 278, 0), ((tiff.DEFLATE, True, 1), 322, 0), ((tiff.DEFLATE, True, 1), 323, 1 << 31)):
+        file = bytearray(tiff.write_tiff(b"x" * 256, (layout,)))
+        at = file.index(struct.pack("<HHI", tag, 4, 1))
+        struct.pack_into("<I", file, at + 8, value)
+        files.append((len(files), bytes(file)))
+    got = tiff.tiff_pages(spark.createDataFrame(files, "id int, f binary"), "id", "f").collect()
+    assert len(got) == 3 and all(r.error and r.samples is None for r in got)

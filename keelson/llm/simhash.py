@@ -46,6 +46,9 @@ BLOCK = 1024
 MAX_SENT = 200_000
 #: Bits of an outline for each shingle of a text, and the least number of 64-bit words.
 OUTLINE, LEAST_WORDS = 4, 4
+#: 64-bit words of the outline of one length that goes with a text into the lists of those
+#: that share a shingle.
+SHORT = 8
 #: Bytes of text whose shingles are held at once.
 SLICE = 2 << 20
 #: Odd numbers that mix the hashes of a shingle's words by their place.
@@ -118,6 +121,14 @@ def outlines_of(value: np.ndarray, owner: np.ndarray, count: int) -> pa.ListArra
     return as_lists(np.packbits(bits, bitorder="little").view(np.uint64), np.repeat(np.arange(count), words), count)
 
 
+def short_outlines(value: np.ndarray, owner: np.ndarray, count: int) -> pa.ListArray:
+    """outlines_of, but of SHORT words whatever the number of hashes: those of a long text have
+    nearly all bits set and exclude nothing."""
+    bits = np.zeros((count, SHORT * 64), bool)
+    bits[owner, (value & np.uint64(SHORT * 64 - 1)).astype(np.int64)] = True
+    return as_lists(np.packbits(bits, axis=1, bitorder="little").reshape(-1).view(np.uint64), np.repeat(np.arange(count), SHORT), count)
+
+
 def prefixes_of(value: np.ndarray, owner: np.ndarray, count: int, common: tuple[np.ndarray, np.ndarray]) -> pa.ListArray:
     """Each text's first hashes in an order that all share: common ones last, by how common.
 
@@ -144,11 +155,12 @@ def prefixes_of(value: np.ndarray, owner: np.ndarray, count: int, common: tuple[
 
 
 def outline(text: Column, size: int = SHINGLE, common=None) -> Column:
-    """struct<size: bigint, bits: array<bigint>, prefix: array<bigint>>: the number of distinct
-    shingles of a text; see outlines_of and prefixes_of. Null counts as empty. ``common`` is a
-    broadcast of the hashes and counts of common shingles."""
+    """struct<size: bigint, bits, short, prefix: array<bigint>>: the number of distinct shingles
+    of a text; see outlines_of, short_outlines and prefixes_of. Null counts as empty. ``common``
+    is a broadcast of the hashes and counts of common shingles."""
+    names = ["size", "bits", "short", "prefix"]
 
-    @F.arrow_udf("struct<size:bigint,bits:array<bigint>,prefix:array<bigint>>")
+    @F.arrow_udf("struct<size:bigint,bits:array<bigint>,short:array<bigint>,prefix:array<bigint>>")
     def draw(texts: pa.Array) -> pa.Array:
         worker_model("simhash")
         order = NONE_COMMON if common is None else common.value
@@ -156,9 +168,9 @@ def outline(text: Column, size: int = SHINGLE, common=None) -> Column:
         for _, part in slices(texts, SLICE):
             value, owner = shingle_sets(part, size)
             count = len(part)
-            drawn = [pa.array(np.bincount(owner, minlength=count)), outlines_of(value, owner, count), prefixes_of(value, owner, count, order)]
-            parts.append(pa.StructArray.from_arrays(drawn, ["size", "bits", "prefix"]))
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("size", pa.int64()), ("bits", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))]))
+            drawn = [outlines_of(value, owner, count), short_outlines(value, owner, count), prefixes_of(value, owner, count, order)]
+            parts.append(pa.StructArray.from_arrays([pa.array(np.bincount(owner, minlength=count)), *drawn], names))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([(n, pa.int64() if n == "size" else pa.list_(pa.int64())) for n in names]))
 
     return draw(text)
 
@@ -317,15 +329,28 @@ def _possible(pairs: DataFrame, items: DataFrame) -> DataFrame:
     return pairs.join(end("a"), "a").join(end("b"), "b").where(may_be_similar(F.col("a_outline"), F.col("b_outline"))).select("a", "b")
 
 
+def _near_by_outlines(bits: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """may_be_similar of the texts numbered x and y, by their short outlines."""
+    near = np.zeros(len(x), bool)
+    for at in range(0, len(x), 1 << 17):
+        i, j = x[at : at + (1 << 17)], y[at : at + (1 << 17)]
+        alone = lambda p, q: np.bitwise_count(bits[p] & ~bits[q]).sum(axis=1, dtype=np.int64)
+        most = np.minimum(size[i] - alone(i, j), size[j] - alone(j, i))
+        near[at : at + (1 << 17)] = most * (1 + SIMILARITY) >= SIMILARITY * (size[i] + size[j]) - 1e-6
+    return near
+
+
 def _cross_pairs(batches):
     """Pairs of each list's members that are in different classes and blocks to be paired,
-    and whose overlap can reach SIMILARITY if this is the first shingle that they share."""
+    whose overlap can reach SIMILARITY if this is the first shingle that they share, and whose
+    short outlines don't exclude it."""
     for batch in batches:
         lists = batch.column(0)
         length = np.diff(lists.offsets.to_numpy())
         first = lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]
         flat = lists.flatten()
         node, label, size, left, block = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+        bits = flat.field(5).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SHORT)
         across = batch.column(1).to_numpy(zero_copy_only=False)
         for n in np.unique(length):
             i, j = np.triu_indices(n, 1)
@@ -335,13 +360,16 @@ def _cross_pairs(batches):
                 most = np.minimum(left[x], left[y])
                 met = (label[x] != label[y]) & (most * (1 + SIMILARITY) >= SIMILARITY * (size[x] + size[y]) - 1e-6)
                 met &= ~across[part][:, None] | (block[x] != block[y])
-                a, b = node[x[met]], node[y[met]]
+                x, y = x[met], y[met]
+                near = _near_by_outlines(bits, size, x, y)
+                a, b = node[x[near]], node[y[near]]
                 pair = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
 
 
-def _pairs_left(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that share a prefix shingle and aren't in one class by roots.
+def _pairs_left(shared: DataFrame, roots: DataFrame, items: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that share a prefix shingle and aren't in one class by roots, less
+    those that the short outlines in items exclude.
 
     A shingle of many texts is dealt by pairs of blocks of them, so no task holds them all;
     one whose texts are all in one class by now adds nothing and is left out.
@@ -351,9 +379,10 @@ def _pairs_left(shared: DataFrame, roots: DataFrame) -> DataFrame:
     held = cut_lineage(named.join(kinds.where("low <> high").select("token"), "token").distinct())
     held = in_tasks(held, held.count())
     sizes = held.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    held = held.join(items.select("node", "short"), "node")
     dealt = held.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64(F.lit(31), "node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.struct("node", "label", "size", "left", "block").alias("m"))
+    dealt = dealt.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.struct("node", "label", "size", "left", "block", "short").alias("m"))
     lists = dealt.groupBy("token", "low", "high").agg(F.collect_list("m").alias("members")).where(F.size("members") > 1)
     return lists.select("members", (F.col("low") != F.col("high")).alias("across")).mapInArrow(_cross_pairs, "a long, b long")
 
@@ -365,9 +394,9 @@ def near_links(texts: DataFrame, prints: DataFrame) -> DataFrame:
     the texts of lowest and highest node, and one more, that share a prefix shingle. Of all other
     pairs that share a prefix shingle those within one class by then add nothing; the rest
     are compared too, so nothing is missed and a group of thousands isn't compared pair by
-    pair. ``prints`` has node, fingerprint, size, bits, prefix, for each document.
+    pair. ``prints`` has node, fingerprint, size, bits, short, prefix, for each document.
     """
-    once = prints.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fingerprint", "size", "bits")])
+    once = prints.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fingerprint", "size", "bits", "short")])
     items = cut_lineage(once)
     values = cut_lineage(items.select("fingerprint").distinct())
     values = in_tasks(values, values.count())
@@ -396,7 +425,7 @@ def near_links(texts: DataFrame, prints: DataFrame) -> DataFrame:
     ]
     links = cut_lineage(_similar(_possible(reduce(DataFrame.unionByName, [same, across, *stars]), items), texts))
     roots = cut_lineage(connected_components(links, "a", "b"))
-    rest = _possible(_pairs_left(shared.select("node", "token", size("packed").cast("int").alias("size"), left("packed").cast("int").alias("left")), roots), items)
+    rest = _possible(_pairs_left(shared.select("node", "token", size("packed").cast("int").alias("size"), left("packed").cast("int").alias("left")), roots, items), items)
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar(rest, texts))
 
 

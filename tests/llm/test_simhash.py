@@ -180,3 +180,23 @@ def test_texts_of_one_fingerprint_are_all_compared(spark, monkeypatch):
         words = [f"w{rng.randrange(5000)}" for _ in range(60)]
         texts += [" ".join(words), " ".join([*words[:-1], "end"])]
     assert check_near_copies(spark, texts) == 12
+
+
+def test_short_outlines_exclude_no_similar_pair():
+    draw = np.random.default_rng(5)
+    owner, value, sets = [], [], []
+    for size in (1, 2, 9, 60, 300, 900):
+        base = draw.integers(0, 1 << 63, size, dtype=np.uint64)
+        for kept in (1.0, 0.95, 0.9, 0.8, 0.5):
+            own = np.unique(np.concatenate([base[: max(1, round(size * kept))], draw.integers(0, 1 << 63, size // 12, dtype=np.uint64)]))
+            owner += [len(sets)] * len(own)
+            value += own.tolist()
+            sets.append(set(own.tolist()))
+    count = len(sets)
+    drawn = simhash.short_outlines(np.array(value, np.uint64), np.array(owner), count)
+    bits = drawn.flatten().to_numpy().view(np.uint64).reshape(-1, simhash.SHORT)
+    x, y = np.triu_indices(count, 1)
+    near = simhash._near_by_outlines(bits, np.array([len(s) for s in sets]), x, y)
+    alike = np.array([len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in zip(x, y)])
+    assert alike.any() and not (alike & ~near).any()
+    assert near.sum() < len(x) / 2

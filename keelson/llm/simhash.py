@@ -372,11 +372,15 @@ def _pairs_left(shared: DataFrame, roots: DataFrame, items: DataFrame) -> DataFr
     those that the short outlines in items exclude.
 
     A shingle of many texts is dealt by pairs of blocks of them, so no task holds them all;
-    one whose texts are all in one class by now adds nothing and is left out.
+    one whose texts are all in one class by now adds nothing and is left out. Shingles of
+    the same texts, as of one passage, count once, each text with the most it has left at any
+    of them; where others meet them by chance, more pairs are formed, never fewer.
     """
     named = shared.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    kinds = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    held = cut_lineage(named.join(kinds.where("low <> high").select("token"), "token").distinct())
+    texts = F.xxhash64(F.min("node"), F.max("node"), F.count(F.lit(1)), F.bit_xor(F.xxhash64("node")))
+    kinds = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), texts.alias("texts"))
+    held = named.join(kinds.where("low <> high").select("token", "texts"), "token").withColumn("token", F.col("texts"))
+    held = cut_lineage(held.groupBy("token", "node", "label").agg(F.first("size").alias("size"), F.max("left").alias("left")))
     held = in_tasks(held, held.count())
     sizes = held.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     held = held.join(items.select("node", "short"), "node")

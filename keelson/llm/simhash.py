@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.llm.bktree import Forest, components
@@ -129,12 +129,14 @@ def short_outlines(value: np.ndarray, owner: np.ndarray, count: int) -> pa.ListA
     return as_lists(np.packbits(bits, axis=1, bitorder="little").reshape(-1).view(np.uint64), np.repeat(np.arange(count), SHORT), count)
 
 
-def prefixes_of(value: np.ndarray, owner: np.ndarray, count: int, common: tuple[np.ndarray, np.ndarray]) -> pa.ListArray:
-    """Each text's first hashes in an order that all share: common ones last, by how common.
+def prefixes_of(value: np.ndarray, owner: np.ndarray, count: int, common: tuple[np.ndarray, np.ndarray]) -> tuple[pa.ListArray, np.ndarray]:
+    """Each text's first hashes in an order that all share: common ones last, by how common;
+    and how many of these, at the front, aren't common.
 
     There are so many that two texts that overlap by SIMILARITY have one of theirs in common:
     of n at least SIMILARITY * n are shared, so no more than the rest can come before it.
-    A text without shingles has one of its own kind, as such texts are alike.
+    A text without shingles has one of its own kind, as such texts are alike; it counts as
+    common.
     """
     size = np.bincount(owner, minlength=count)
     bare = np.flatnonzero(size == 0)
@@ -142,25 +144,27 @@ def prefixes_of(value: np.ndarray, owner: np.ndarray, count: int, common: tuple[
     order = np.argsort(owner, kind="stable")
     value, owner = value[order], owner[order]
     known, held = common
+    usual = np.repeat(size == 0, np.maximum(size, 1))
     if len(known):
         at = np.minimum(np.searchsorted(known, value), len(known) - 1)
         often = np.where(known[at] == value, held[at], 0)
         starts = np.searchsorted(owner, np.arange(count + 1))
         for i in np.unique(owner[often > 0]):
             own = slice(starts[i], starts[i + 1])
-            value[own] = value[own][np.argsort(often[own], kind="stable")]
+            order = np.argsort(often[own], kind="stable")
+            value[own], usual[own] = value[own][order], usual[own] | (often[own][order] > 0)
     place = np.arange(len(owner)) - np.searchsorted(owner, np.arange(count))[owner]
     first = place < (size - np.ceil(SIMILARITY * size - 1e-6).astype(np.int64) + 1)[owner]
-    return as_lists(value[first], owner[first], count)
+    return as_lists(value[first], owner[first], count), np.bincount(owner[first & ~usual], minlength=count)
 
 
 def outline(text: Column, size: int = SHINGLE, common=None) -> Column:
-    """struct<size: bigint, bits, short, prefix: array<bigint>>: the number of distinct shingles
-    of a text; see outlines_of, short_outlines and prefixes_of. Null counts as empty. ``common``
-    is a broadcast of the hashes and counts of common shingles."""
-    names = ["size", "bits", "short", "prefix"]
+    """struct<size: bigint, bits, short, prefix: array<bigint>, rare: bigint>: the number of
+    distinct shingles of a text; see outlines_of, short_outlines and prefixes_of. Null counts as
+    empty. ``common`` is a broadcast of the hashes and counts of common shingles."""
+    names = ["size", "bits", "short", "prefix", "rare"]
 
-    @F.arrow_udf("struct<size:bigint,bits:array<bigint>,short:array<bigint>,prefix:array<bigint>>")
+    @F.arrow_udf("struct<size:bigint,bits:array<bigint>,short:array<bigint>,prefix:array<bigint>,rare:bigint>")
     def draw(texts: pa.Array) -> pa.Array:
         worker_model("simhash")
         order = NONE_COMMON if common is None else common.value
@@ -168,9 +172,10 @@ def outline(text: Column, size: int = SHINGLE, common=None) -> Column:
         for _, part in slices(texts, SLICE):
             value, owner = shingle_sets(part, size)
             count = len(part)
-            drawn = [outlines_of(value, owner, count), short_outlines(value, owner, count), prefixes_of(value, owner, count, order)]
+            prefix, rare = prefixes_of(value, owner, count, order)
+            drawn = [outlines_of(value, owner, count), short_outlines(value, owner, count), prefix, pa.array(rare)]
             parts.append(pa.StructArray.from_arrays([pa.array(np.bincount(owner, minlength=count)), *drawn], names))
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([(n, pa.int64() if n == "size" else pa.list_(pa.int64())) for n in names]))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([(n, pa.int64() if n in ("size", "rare") else pa.list_(pa.int64())) for n in names]))
 
     return draw(text)
 
@@ -191,7 +196,8 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of shingles that many texts (node, text) hold, and in how many of those
     counted. It decides how fast pairs are found, not which."""
     drawn = texts.where(F.pmod(F.xxhash64(F.lit(29), "node"), F.lit(COUNTED)) == 0)
-    held = sets_of(drawn).select("node", F.explode("s").alias("word")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+    drawn = drawn.groupBy("node").agg(F.first("text").alias("text"))
+    held = sets_of(drawn).select(F.explode("s").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c"))
     rows = frequent_words(cut_lineage(held.where(F.col("c") >= COMMON)), MOST_COMMON)[:MOST_COMMON]
     known, counts = np.array([r.word for r in rows], np.int64).view(np.uint64), np.array([r.c for r in rows], np.int64)
     order = np.argsort(known)
@@ -355,7 +361,7 @@ def _cross_pairs(batches):
         for n in np.unique(length):
             i, j = np.triu_indices(n, 1)
             rows = np.flatnonzero(length == n)
-            for part in np.array_split(rows, max(1, len(rows) * len(i) >> 20)):
+            for part in np.array_split(rows, max(1, len(rows) * len(i) >> 18)):
                 x, y = (first[part][:, None] + k for k in (i, j))
                 most = np.minimum(left[x], left[y])
                 met = (label[x] != label[y]) & (most * (1 + SIMILARITY) >= SIMILARITY * (size[x] + size[y]) - 1e-6)
@@ -398,7 +404,10 @@ def near_links(texts: DataFrame, prints: DataFrame) -> DataFrame:
     the texts of lowest and highest node, and one more, that share a prefix shingle. Of all other
     pairs that share a prefix shingle those within one class by then add nothing; the rest
     are compared too, so nothing is missed and a group of thousands isn't compared pair by
-    pair. ``prints`` has node, fingerprint, size, bits, short, prefix, for each document.
+    pair. ``prints`` has node, fingerprint, size, bits, short, prefix, rare, for each document.
+
+    A shingle that isn't common is shuffled once, to see in one pass whether a second text has
+    it; common ones, of which a third of all texts may have one, aren't gathered for that.
     """
     once = prints.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fingerprint", "size", "bits", "short")])
     items = cut_lineage(once)
@@ -410,14 +419,17 @@ def near_links(texts: DataFrame, prints: DataFrame) -> DataFrame:
     same = items.join(heads, "fingerprint").select(F.col("node").alias("a"), F.col("head").alias("b"))
     end = lambda key, name: heads.select(F.col("fingerprint").alias(key), F.col("head").alias(name))
     across = near.join(end("a", "x"), "a").join(end("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    tokens = prints.select("node", "size", F.posexplode("prefix").alias("at", "token"))
+    fronts = prints.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "prefix", "rare")])
+    tokens = fronts.select("node", "size", "rare", F.posexplode("prefix").alias("at", "token"))
     # size and number left in one number: most of these rows meet no other one
     packed = F.shiftleft("size", 32).bitwiseOR(F.col("size") - F.col("at"))
-    tokens = tokens.select("token", "node", packed.alias("packed"))
-    met = tokens.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
-    shared = cut_lineage(tokens.join(met, "token"))
+    usual = F.col("at") >= F.col("rare")
+    row = ["token", "node", packed.alias("packed")]
+    met = tokens.where(~usual).select(*row).withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("texts > 1")
+    shared = cut_lineage(met.drop("texts").unionByName(tokens.where(usual).select(*row)))
     drawn = F.xxhash64("token", "node")  # another one for each shingle that a group shares
     ends = shared.groupBy("token").agg(
+        F.min("node").alias("first"), F.max("node").alias("last"),
         F.min_by("packed", "node").alias("first_packed"), F.max_by("packed", "node").alias("last_packed"),
         F.min_by("node", drawn).alias("any"), F.min_by("packed", drawn).alias("any_packed"),
     )

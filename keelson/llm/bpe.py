@@ -2,9 +2,9 @@
 
 Each pre-token is merged with a queue that has one bucket for each merge rank. A bucket
 holds positions in the pre-token's linked list of symbols, a two-level bitmap marks the
-ranks whose bucket is in use, and find-first-set on each level gives the lowest one. Entries whose pair has changed since are stale and are skipped when met. The
-cost is O(n log n) for a pre-token of n bytes, so a run of a million letters is no special
-case.
+ranks whose bucket is in use, and find-first-set on each level gives the lowest one. Entries
+whose pair has changed since are stale and are skipped when met. The cost is O(n log n) for a
+pre-token of n bytes, so a run of a million letters is no special case.
 
 Defined results: a null or empty text has no tokens; equal rows give equal rows; columns
 other than the id and the text are ignored, whatever their names.
@@ -16,6 +16,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from heapq import heappop, heappush
 
 import numpy as np
@@ -31,7 +32,7 @@ from keelson.llm.common import worker_model
 MAX_RANK_FILE = 64 << 20
 #: Chunks and pre-tokens that a worker remembers in each of two generations, about 200 bytes
 #: each: for a pass that does nothing else, and beside other work.
-CACHE_ENTRIES, SMALL_CACHE = 650_000, 120_000
+CACHE_ENTRIES, SMALL_CACHE = 650_000, 60_000
 #: Unicode's White_Space, as \s means in the pattern.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Pre-tokens of PATTERN never cross from such a chunk to the next one, and letters alone are
@@ -64,8 +65,6 @@ class Codec:
         # a level of the bitmap has words of 256 bits
         self.low = [0] * ((max(self.ranks.values(), default=0) >> 8) + 1)
         self.bit = [1 << i for i in range(max(256, len(self.low)))]
-        self.token_bytes = {rank: token for token, rank in self.ranks.items()}
-        self.spelled = {str(rank): token for rank, token in self.token_bytes.items()}
         self.known = _Remembered(self._spell_chunk, entries)
 
     def merge(self, piece: bytes) -> list[int]:
@@ -166,6 +165,14 @@ class Codec:
         spelled = self.spell(text)
         return list(map(int, spelled.split(" "))) if spelled else []
 
+    @cached_property
+    def token_bytes(self) -> dict[int, bytes]:
+        return {rank: token for token, rank in self.ranks.items()}
+
+    @cached_property
+    def spelled(self) -> dict[str, bytes]:
+        return {str(rank): token for token, rank in self.ranks.items()}
+
     def decode_spelled(self, spelled: str) -> bytes:
         return b"".join(map(self.spelled.__getitem__, spelled.split(" "))) if spelled else b""
 

@@ -58,6 +58,7 @@ def worker_model(key, build=lambda: None):
     """
     if _HELD[0] != key:
         _HELD[:] = [None, None]
+        pa.default_memory_pool().release_unused()
         _HELD[:] = [key, build()]
     return _HELD[1]
 
